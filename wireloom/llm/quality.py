@@ -3,8 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows.
 The method's own rule compares a document with language references: the
 Jensen-Shannon distance (base 2, square root) of its character-class histogram
-and of its common-word histogram to the nearest reference.  References are
-means over all labelled documents long enough to be judged.
+and of its common-word histogram to the nearest reference.  References come from
+all labelled documents long enough to be judged.
 
 Defined results: null, empty or blank texts have no words and fail the base
 rules; texts under ``min_words`` are not judged by distance; with no labelled
@@ -32,6 +32,7 @@ CLASSES = {
     "letter": r"\p{L}+",
 }
 ALL = 2147483647
+SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,9 @@ class Rules:
     #: Texts with fewer words are not judged by their histograms.
     judged_words: int = 40
     common_words: int = 16
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.62
+    #: A distance may be the first figure, and the second over the root of the word count, for what chance does to short texts.
+    class_distance: tuple[float, float] = (0.05, 2.0)
+    word_distance: tuple[float, float] = (0.30, 3.0)
 
 
 def let(value: Column, body) -> Column:
@@ -52,7 +54,7 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; an empty array for none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE_CLASS}]+")))
 
 
@@ -101,17 +103,21 @@ def class_counts(text: Column) -> Column:
     # each class is taken out of what the ones before it left, so that only the first sees the whole text
     steps = F.struct(text.alias("rest"), F.array().cast("array<bigint>").alias("counts"))
     for pattern in CLASSES.values():
-        steps = let(
-            steps,
-            lambda s, pattern=pattern: let(
-                F.regexp_replace(s["rest"], pattern, ""),
-                lambda r: F.struct(
-                    r.alias("rest"),
-                    F.array_append(s["counts"], (F.char_length(s["rest"]) - F.char_length(r)).cast("long")).alias("counts"),
-                ),
+        steps = let(steps, _taken_out(pattern))
+    return let(steps, lambda s: F.array_append(s["counts"], F.char_length(s["rest"]).cast("long")))
+
+
+def _taken_out(pattern: str):
+    def step(s: Column) -> Column:
+        return let(
+            F.regexp_replace(s["rest"], pattern, ""),
+            lambda r: F.struct(
+                r.alias("rest"),
+                F.array_append(s["counts"], (F.char_length(s["rest"]) - F.char_length(r)).cast("long")).alias("counts"),
             ),
         )
-    return let(steps, lambda s: F.array_append(s["counts"], F.char_length(s["rest"]).cast("long")))
+
+    return step
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -156,7 +162,11 @@ def shares(counts: Column) -> Column:
 
 
 def references(docs: DataFrame, text: str, lang: str, rules: Rules) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Mean histograms of each language over all its documents that are long enough."""
+    """Histograms of each language over all its documents that are long enough.
+
+    Character classes by their medians, which junk can't move; common words by
+    their mean shares.
+    """
     by_lang = top_words(docs, text, lang, rules.common_words)
     vocabulary = sorted({w for ws in by_lang.values() for w in ws})
     if not vocabulary:
@@ -164,24 +174,26 @@ def references(docs: DataFrame, text: str, lang: str, rules: Rules) -> dict[str,
     base = (
         docs.where(F.col(lang).isNotNull())
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"), words_of(F.col(text)).alias("words"))
-        .where(F.size("words") >= rules.judged_words)
-        .select("lang", shares(class_counts(F.col("text"))).alias("classes"), common_counts(F.col("words"), vocabulary).alias("common"))
     )
-    n = len(CLASSES) + 1
     # one pass: class shares and word shares go up as one list of named parts
-    parts = base.select(
-        "lang",
-        F.explode(
-            F.concat(
-                F.transform(F.col("classes"), lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), x.alias("share"))),
-                F.transform(F.col("common"), lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), x["share"].alias("share"))),
-            )
-        ).alias("p"),
+    named = F.concat(
+        F.transform(
+            shares(class_counts(F.col("text"))),
+            lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), x.alias("share")),
+        ),
+        F.transform(
+            common_counts(F.col("words"), vocabulary),
+            lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), x["share"].alias("share")),
+        ),
     )
-    found = parts.groupBy("lang", "p.part").agg(F.sum("share").alias("sum")).collect()
+    # not a filter, which would be pushed below the words and split every text twice
+    parts = base.select("lang", F.explode(F.when(F.size("words") >= rules.judged_words, named)).alias("p"))
+    value = F.when(F.col("part").startswith("c "), F.percentile_approx("share", F.lit(0.5), F.lit(1000))).otherwise(F.sum("share"))
+    found = parts.select("lang", "p.*").groupBy("lang", "part").agg(value.alias("value")).collect()
+    n = len(CLASSES) + 1
     sums: dict[str, dict[str, float]] = {}
     for r in found:
-        sums.setdefault(r["lang"], {})[r["part"]] = r["sum"]
+        sums.setdefault(r["lang"], {})[r["part"]] = r["value"]
     out = {}
     for name, parts_of in sorted(sums.items()):
         c = [parts_of.get(f"c {i}", 0.0) for i in range(n)]
@@ -257,7 +269,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
         .withColumn("base_failed", base_failed)
         .withColumn("near", F.when(F.col("n_words") >= rules.judged_words, near))
     )
-    far = (F.col("near.class_distance") > rules.max_class_distance) | (F.col("near.word_distance") > rules.max_word_distance)
+    most = lambda limit: F.lit(limit[0]) + F.lit(limit[1]) / F.sqrt("n_words")
+    far = (F.col("near.class_distance") > most(rules.class_distance)) | (F.col("near.word_distance") > most(rules.word_distance))
     return judged.select(
         "row",
         F.struct(
