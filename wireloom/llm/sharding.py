@@ -20,6 +20,8 @@ from wireloom.llm.shared import written
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose offsets may be broadcast (16 bytes each).
+BROADCAST_BUCKETS = 1 << 20
 
 
 def external_shuffle(
@@ -50,6 +52,8 @@ def deal(shuffled: DataFrame, n_shards: int = 16) -> DataFrame:
     sizes = shuffled.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if sizes.count() <= BROADCAST_BUCKETS:  # else the records would be shuffled once more for this join
+        starts = F.broadcast(starts)
     at = F.col("start") + F.col("place")
     return shuffled.join(starts, "bucket").select(
         "record",
