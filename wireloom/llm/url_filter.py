@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of the digest that the join compares.
 PREFIX_DIGITS = 8
 DEFAULT_VERDICT = "allow"
+#: Rules that may be broadcast (about 200 bytes each).
+BROADCAST_RULES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -43,7 +45,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     ``rules`` has the columns of :func:`rule_table`.  Of rules with the same
     host and path, block wins.  The rules' label counts (at most 128 in a host
-    name) and path lengths come to the driver, never the rules.
+    name) and path lengths come to the driver, never the rules.  Up to
+    :data:`BROADCAST_RULES` rules are broadcast; more meet the expressions in a
+    shuffled join, where adaptive execution splits an expression that very many
+    URLs share.
     """
     rules = rules.where(F.col("rule_path").startswith("/") & (F.col("rule_host") != ""))
     keyed = (
@@ -64,7 +69,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     shape = rules.agg(
         F.sort_array(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("labels"),
         F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"),
+        F.count("*").alias("n"),
     ).first()
+    if shape["n"] <= BROADCAST_RULES:
+        keyed = F.broadcast(keyed)
 
     parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     fits = [
@@ -77,10 +85,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     ]
     # element 0 stands for the row itself: it keeps rows without a fit, and counts repeated rows
     spread = parts.select("*", F.posexplode(F.array_compact(F.array(F.lit(""), *fits))).alias("at", "expression"))
+    # it has a join key of its own, so that a shuffled join doesn't meet one key of all rows
     digest = F.sha2("expression", 256)
-    found = spread.withColumns({"digest": digest, "short": F.substring(digest, 1, PREFIX_DIGITS)}).join(
-        keyed, "short", "left"
-    )
+    alone = F.concat(F.lit("-"), F.pmod(F.xxhash64(key, "host", "path"), F.lit(1 << 20)).cast("string"))
+    short = F.when(F.col("at") == 0, alone).otherwise(F.substring(digest, 1, PREFIX_DIGITS))
+    found = spread.withColumns({"digest": digest, "short": short}).join(keyed, "short", "left")
     best = found.groupBy(key, "host", "path").agg(
         F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("copies"),
         F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("hit"))).alias("hit"),
