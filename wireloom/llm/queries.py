@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import media, quality, sharding, url_filter
+from wireloom.llm import byte_bpe, media, quality, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TOKEN_BUDGET = 512
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = token_counts.prefix_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    facts = tables.withColumn("facts", token_counts.budget_facts(F.col("token_steps"), TOKEN_BUDGET))
+    return facts.select(
+        "doc_id", "n_bytes", "facts.n_tokens", (F.col("facts.n_tokens") > TOKEN_BUDGET).alias("over_limit"), "facts.fitting_chars"
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("row.doc_id", "quality.*")
@@ -65,6 +77,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.text_media(table(spark, sf_dir, "documents"))
     probed = media.media_columns(stored).withColumn("facts", media.payload_facts(F.col("media")))
@@ -92,9 +112,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_sharding": op8_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES = {"op7_url_filters": OP7_SQL}
