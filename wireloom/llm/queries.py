@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import byte_bpe, media, quality, sharding, token_counts, url_filter
+from wireloom.llm import byte_bpe, language_id, media, packing, quality, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 TOKEN_BUDGET = 512
 
 
@@ -24,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("row.doc_id", "quality.*")
@@ -112,7 +120,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_sharding": op8_sharding,
