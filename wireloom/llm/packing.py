@@ -265,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         [("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     )
 
-    def shard_of(keys, group: pa.Table) -> pa.Table:
+    def shard_of(keys, group):
         columns = [group.column(c).to_pylist() for c in ("key", "tokens", "full", "rest", "wide", "terms", "counts")]
         ordered = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
         found = pack_shard(ordered, keys[0].as_py(), window)
