@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wireloom.llm.shared import SPACE_CLASS
+from wireloom.llm.shared import SPACE_CLASS, written
 
 #: Character classes in the order in which they are taken out of a text.
 CLASSES = {
@@ -32,7 +32,6 @@ CLASSES = {
     "letter": r"\p{L}+",
 }
 ALL = 2147483647
-SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,7 @@ class Rules:
     common_words: int = 16
     #: A distance may be the first figure, and the second over the root of the word count, for what chance does to short texts.
     class_distance: tuple[float, float] = (0.05, 2.0)
-    word_distance: tuple[float, float] = (0.30, 3.0)
+    word_distance: tuple[float, float] = (0.30, 4.0)
 
 
 def let(value: Column, body) -> Column:
@@ -54,8 +53,8 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; an empty array for none."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE_CLASS}]+")))
+    # white space at the ends leaves empty words
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+"), "")
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
@@ -64,12 +63,18 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     Windows are compared by 64-bit hashes.  Arrays without a repeated window,
     nearly all, cost one pass; the others a sort.
     """
-    hashes = let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda h: F.when(F.size(h) < window, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
-        ),
-    )
+
+    def joined(step: int):
+        """Hashes of windows of twice ``step`` words from those of ``step`` words; the last ones aren't whole."""
+        return lambda h: F.zip_with(h, F.slice(h, 1 + step, ALL), lambda a, b: F.xxhash64(a, b))
+
+    whole = F.transform(words, lambda w: F.xxhash64(w))
+    step = 1
+    while step < window:
+        whole = let(whole, joined(step))
+        step *= 2
+    assert step == window, "a power of two is asked for"
+    hashes = let(whole, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0))))
 
     def places(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -126,9 +131,9 @@ def duplicate_lines(text: Column) -> Column:
 
 
 def top_words(docs: DataFrame, text: str, lang: str, k: int) -> dict[str, list[str]]:
-    """For each language its ``k`` words that stand in most documents; ties by the word."""
+    """For each language its ``k`` most frequent words; ties by the word."""
     pairs = docs.where(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.explode(F.array_distinct(words_of(F.lower(text)))).alias("word")
+        F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word")
     )
     counts = pairs.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -143,8 +148,10 @@ def common_counts(words: Column, vocabulary: list[str]) -> Column:
     """Array of (word, share): the common words of a text, as shares of all its common words."""
     if not vocabulary:
         return F.array().cast("array<struct<word:string,share:double>>")
+    # capitals stand at the head of a sentence only; text in capitals shall differ
+    either = sorted({*vocabulary, *(w[:1].upper() + w[1:] for w in vocabulary)})
     return let(
-        F.filter(F.transform(words, F.lower), lambda w: w.isin(vocabulary)),
+        F.transform(F.filter(words, lambda w: w.isin(either)), F.lower),
         lambda c: F.transform(
             F.array_distinct(c),
             lambda w: F.struct(
@@ -161,35 +168,20 @@ def shares(counts: Column) -> Column:
     )
 
 
-def references(docs: DataFrame, text: str, lang: str, rules: Rules) -> dict[str, tuple[list[float], dict[str, float]]]:
+def references(counted: DataFrame, rules: Rules) -> dict[str, tuple[list[float], dict[str, float]]]:
     """Histograms of each language over all its documents that are long enough.
 
     Character classes by their medians, which junk can't move; common words by
     their mean shares.
     """
-    by_lang = top_words(docs, text, lang, rules.common_words)
-    vocabulary = sorted({w for ws in by_lang.values() for w in ws})
-    if not vocabulary:
-        return {}
-    base = (
-        docs.where(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), words_of(F.col(text)).alias("words"))
-    )
     # one pass: class shares and word shares go up as one list of named parts
     named = F.concat(
-        F.transform(
-            shares(class_counts(F.col("text"))),
-            lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), x.alias("share")),
-        ),
-        F.transform(
-            common_counts(F.col("words"), vocabulary),
-            lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), x["share"].alias("share")),
-        ),
+        F.transform("class_shares", lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), x.alias("share"))),
+        F.transform("common", lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), x["share"].alias("share"))),
     )
-    # not a filter, which would be pushed below the words and split every text twice
-    parts = base.select("lang", F.explode(F.when(F.size("words") >= rules.judged_words, named)).alias("p"))
+    judged = counted.where(F.col("lang").isNotNull() & (F.col("n_words") >= rules.judged_words))
     value = F.when(F.col("part").startswith("c "), F.percentile_approx("share", F.lit(0.5), F.lit(1000))).otherwise(F.sum("share"))
-    found = parts.select("lang", "p.*").groupBy("lang", "part").agg(value.alias("value")).collect()
+    found = judged.select("lang", F.explode(named).alias("p")).select("lang", "p.*").groupBy("lang", "part").agg(value.alias("value")).collect()
     n = len(CLASSES) + 1
     sums: dict[str, dict[str, float]] = {}
     for r in found:
@@ -230,13 +222,14 @@ def word_distance(common: Column, reference: dict[str, float]) -> Column:
     return F.aggregate(common, start, step, lambda a: F.sqrt(F.greatest((a["sum"] + F.greatest(a["left"], F.lit(0.0))) / 2, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """Columns ``row`` (the row as it came) and ``quality``: counts, distances and verdict of its whole text."""
-    known = references(docs, text, lang, rules)
-    vocabulary = sorted({w for _, ws in known.values() for w in ws})
-    first = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counted = first.select("row", "text", words_of(F.col("text")).alias("words")).select(
+def count(docs: DataFrame, text: str, lang: str, rules: Rules) -> DataFrame:
+    """All that the rules need of each row, and the row itself; written, as the references and the verdicts both read it."""
+    by_lang = top_words(docs, text, lang, rules.common_words)
+    vocabulary = sorted({w for words in by_lang.values() for w in words})
+    first = docs.select("row", F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang"))
+    counted = first.select("row", "text", "lang", words_of(F.col("text")).alias("words")).select(
         "row",
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
@@ -244,6 +237,16 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
         class_counts(F.col("text")).alias("classes"),
         common_counts(F.col("words"), vocabulary).alias("common"),
     )
+    return written(counted, "quality").withColumn("class_shares", shares(F.col("classes")))
+
+
+def judge(
+    docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules(), columns: list[str] | None = None
+) -> DataFrame:
+    """Columns ``row`` (the row as it came, or its ``columns``) and ``quality``: counts, distances, verdict of its whole text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))
+    counted = count(docs.select(row.alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang", rules)
+    known = references(counted, rules)
     base_failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
@@ -265,9 +268,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
         else nothing
     )
     judged = (
-        counted.withColumn("class_shares", shares(F.col("classes")))
-        .withColumn("base_failed", base_failed)
-        .withColumn("near", F.when(F.col("n_words") >= rules.judged_words, near))
+        counted.withColumn("base_failed", base_failed).withColumn("near", F.when(F.col("n_words") >= rules.judged_words, near))
     )
     most = lambda limit: F.lit(limit[0]) + F.lit(limit[1]) / F.sqrt("n_words")
     far = (F.col("near.class_distance") > most(rules.class_distance)) | (F.col("near.word_distance") > most(rules.word_distance))
