@@ -31,7 +31,8 @@ CLASSES = {
     "digit": "[0-9]+",
     "letter": r"\p{L}+",
 }
-ALL = 2147483647
+#: A length that takes all of an array (the greatest integer would overflow).
+ALL = 1 << 30
 
 
 @dataclass(frozen=True)
