@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import byte_bpe, jaccard_join, language_id, media, packing, quality, sharding, token_counts, url_filter
+from wireloom.llm import byte_bpe, jaccard_join, language_id, license_scan, media, packing, quality, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents"))
+    named = F.filter("licences", lambda x: x["family"] != license_scan.UNKNOWN)
+    best = F.try_element_at(F.sort_array(F.transform("named", lambda x: F.struct((-x["score"]).alias("s"), x["paragraph"], x["family"]))), F.lit(1))
+    return (
+        scanned.withColumn("named", named)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.col("best.family").alias("family"),
+            (-F.col("best.s")).alias("score"),
+            F.col("best.paragraph").alias("paragraph"),
+            F.array_join(F.sort_array(F.array_distinct("named.family")), ",").alias("families"),
+            F.size("named").alias("n_paragraphs"),
+            (F.size("licences") - F.size("named")).alias("n_unknown"),
+        )
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -127,6 +146,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_url_filters": op7_url_filters,
