@@ -1,13 +1,47 @@
-"""A corpus pipeline from four of the llm operators."""
+"""A corpus pipeline from four of the llm operators.
+
+Documents in no learned language go, then those that fail the quality rules,
+then all but one of each group of near duplicates; what is left is packed into
+training sequences.  Each stage is written and read again by the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from wireloom.llm import jaccard_join, language_id, packing, quality
+from wireloom.llm.shared import written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("quality_rules", good_quality),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("packing", packed),
+]
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -377,3 +377,12 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return named.join(smallest, "c", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of its smallest key; rows without a key stay, as nothing names them."""
+    groups = link_components(docs, key, text, words, percent)
+    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
+    row = docs.select(F.col(key).cast("long").alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    kept = row.join(first, "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
+    return kept.select("_row.*").unionByName(docs.where(F.col(key).isNull()))
