@@ -14,20 +14,25 @@ their shard (by key, then length, then content).  Empty tables give no pieces.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wireloom.llm.byte_bpe import CACHE_ENTRIES, grouped
+from wireloom.llm.byte_bpe import grouped
 from wireloom.llm.shared import small_batches
+from wireloom.llm.token_counts import PIECE, byte_letters
 
 WINDOW, END_ID, SHARD_DOCS = 1024, 0, 2048
 K1, B = 1.2, 0.75
+#: Words whose ids a worker keeps.
+WORDS_KNOWN = 600_000
 #: White space other than the plain space and the line feed.
 RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
@@ -44,6 +49,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.line = self._library(["\n"])[0]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.fast = _same_ids(path)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -55,7 +62,11 @@ class WordEncoder:
         self.known["\n"] = self.line
         if not bare:
             return
-        ids = self._library(["\n".join([x[1:] if x[:1] == "\n" else " " + x for x in bare])])[0]
+        text = "\n".join([x[1:] if x[:1] == "\n" else " " + x for x in bare])
+        if self.fast is None or any(t in text for t in self.special):
+            ids = self._library([text])[0]
+        else:
+            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         ends = np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.line, "little")) * 4
         parts = zip(bare, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True)
         self.known.update([(x, self.line + ids[a:b] if x[:1] == "\n" else ids[a:b]) for x, a, b in parts])
@@ -74,7 +85,7 @@ class WordEncoder:
         for x in words:
             if x:
                 new.update(x)
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > WORDS_KNOWN:
             self.known = {}
         new.difference_update(self.known)
         self._learn(list(new))
@@ -84,6 +95,22 @@ class WordEncoder:
         return [whole[i] if x is None else b"".join([known[w] for w in x])[skip:] for i, x in enumerate(words)]
 
 
+def _same_ids(path: str) -> tiktoken.Encoding | None:
+    """A faster encoder of the same vocabulary and merges, where the file's ids go by its merges; else none."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    pre = told.get("pre_tokenizer") or {}
+    if told["model"]["type"] != "BPE" or told.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
+        return None
+    letters = byte_letters()
+    ids = {bytes(letters[c] for c in t): i for t, i in told["model"]["vocab"].items() if all(c in letters for c in t)}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+    made = [ids.get(bytes(letters[c] for c in a + b), -1) for a, b in merges]
+    if len(ids) != 256 + len(merges) or made != sorted(set(made)) or max(ids[bytes([b])] for b in range(256)) >= made[0]:
+        return None
+    return tiktoken.Encoding("same", pat_str=PIECE.pattern, mergeable_ranks=ids, special_tokens={})
+
+
 @cache
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
