@@ -10,8 +10,9 @@ are sorted by it: rare first.  Linked sets share an n-gram in the first
 set from here on, named by a 64-bit signature.
 
 Candidates.  Prefix n-grams are shuffled and sorted.  Each list of the sets
-that share one is streamed: its first set is paired with every other (a star,
-not all pairs), if the length and positional filters pass.  Each pair is
+that share one is streamed: its first set, the one with the fewest rarer
+n-grams, is paired with every other (a star, not all pairs), if the length and
+positional filters pass.  Each pair is
 verified once, after a suffix filter, on the whole texts.  Links make
 components.  Only in lists that still touch several components can a link be
 missing that matters: there all pairs across components that pass the filters
@@ -231,9 +232,11 @@ def postings(docs: DataFrame, classes, words: int, percent: int, list_part: int)
 def stars(rows: DataFrame) -> DataFrame:
     """Each list's sets beside its first set: (gram, salt, first, first_n, first_place, s, n, place, nth).
 
-    Lists of one set give no rows.  A list is streamed; only the row before is held.
+    First comes the set that has the fewest rarer n-grams before this one: the
+    least altered copy, to which the others most likely link.  Lists of one set
+    give no rows.  A list is streamed; only the row before is held.
     """
-    together = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "s")
+    together = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "s")
 
     def run(batches):
         last = None  # the head of the list that may go on, its last set, and how many sets it has
