@@ -15,9 +15,9 @@ def statistics(feedback: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("issue_type").alias("kind"), F.col("issue_type").alias("name")),
-                F.struct(F.lit("original_label"), F.col("original_label")),
-                F.struct(F.lit("correction"), pair),
-                F.struct(F.lit("total"), F.lit("all")),
+                F.struct(F.lit("original_label").alias("kind"), F.col("original_label").alias("name")),
+                F.struct(F.lit("correction").alias("kind"), pair.alias("name")),
+                F.struct(F.lit("total").alias("kind"), F.lit("all").alias("name")),
             )
         ).alias("k")
     ).select("k.*")
@@ -26,7 +26,7 @@ def statistics(feedback: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("distinct").alias("kind"), F.lit("files").alias("name"), F.col("f").alias("n")),
-                F.struct(F.lit("distinct"), F.lit("users"), F.col("u")),
+                F.struct(F.lit("distinct").alias("kind"), F.lit("users").alias("name"), F.col("u").alias("n")),
             )
         ).alias("k")
     )

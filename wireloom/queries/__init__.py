@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from wireloom.queries import detection, graphs, learning, texts, vectors
+
 
 def registered() -> dict:
     """Name: (query of a session and a data folder, SQL or None)."""
-    from wireloom.queries import detection
-
-    return {name: (query, detection.ORACLES.get(name)) for name, (query, _) in detection.ENTRIES.items()}
+    out = {}
+    for module in (vectors, detection, graphs, texts, learning):
+        out.update({name: (query, module.ORACLES.get(name)) for name, (query, _) in module.ENTRIES.items()})
+    return out

@@ -20,13 +20,13 @@ VIEWS = {
         cast((c_custkey * 613) % 1000 + 30 as int) as x1, cast((c_custkey * 911) % 700 + 14 as int) as y1,
         cast((c_custkey * 17) % 1000 as double) / 1000 as confidence from {{customer}}""",
     "v_segments": """select cast(floor(o_orderkey / 60.0) as bigint) as sheet_id, o_orderkey as segment_id,
-        cast((o_orderkey * 37) % 40 * 25 as int) as sx, cast((o_orderkey * 53) % 28 * 25 as int) as sy,
-        cast((o_orderkey * 37) % 40 * 25 + (1 - o_orderkey % 2) * (25 + o_orderkey % 4 * 25) as int) as ex,
-        cast((o_orderkey * 53) % 28 * 25 + o_orderkey % 2 * (25 + o_orderkey % 4 * 25) as int) as ey,
+        cast((o_orderkey * 7) % 30 * 50 as int) as sx, cast((o_orderkey * 11) % 13 * 50 as int) as sy,
+        cast((o_orderkey * 7) % 30 * 50 + (1 - o_orderkey % 2) * (50 + o_orderkey % 3 * 50) as int) as ex,
+        cast((o_orderkey * 11) % 13 * 50 + o_orderkey % 2 * (50 + o_orderkey % 3 * 50) as int) as ey,
         cast((o_orderkey * 31) % 1000 as double) / 1000 as confidence from {orders}""",
     "v_pins": """select cast(floor(o_orderkey / 60.0) as bigint) as sheet_id, concat('C', cast(floor(o_orderkey / 20.0) as bigint)) as component_id,
-        cast(o_orderkey as string) as pin_number, cast((o_orderkey * 41) % 40 * 25 + o_orderkey % 7 as int) as x,
-        cast((o_orderkey * 59) % 28 * 25 + o_orderkey % 5 as int) as y from {orders} where o_orderkey % 7 = 0""",
+        cast(o_orderkey as string) as pin_number, cast((o_orderkey * 41) % 30 * 50 + o_orderkey % 7 as int) as x,
+        cast((o_orderkey * 59) % 13 * 50 + o_orderkey % 5 as int) as y from {orders} where o_orderkey % 7 = 0""",
     "v_feedback": """select event_id as id, cast(user_id as string) as file_id, cast(user_id % 13 as string) as user_id, event_type as original_label,
         case when event_id % 4 = 0 then 'resistor' when event_id % 4 = 1 then 'diode' else event_type end as corrected_label,
         case when event_id % 3 = 0 then 'text' else 'symbol' end as issue_type, ts as created_at from {events}""",
