@@ -25,74 +25,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wireloom.llm.byte_bpe import grouped
 from wireloom.llm.shared import small_batches
 from wireloom.llm.token_counts import PIECE, byte_letters
 
 WINDOW, END_ID, SHARD_DOCS = 1024, 0, 2048
 K1, B = 1.2, 0.75
-#: Words whose ids a worker keeps.
-WORDS_KNOWN = 600_000
-#: White space other than the plain space and the line feed.
-RARE_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 
-class WordEncoder:
-    """Encodes by the library, a word at a time: words between plain spaces and line feeds are cached.
+class TextEncoder:
+    """Ids as the library gives them, its special tokens in texts included.
 
-    A byte-level pre-tokeniser never joins a word to anything but one space
-    before it.  Texts with other white space, or runs of it, go to the library
-    as they are.
+    Where a file's ids go by its merges, texts without a special token take a
+    faster encoder that is built from the same file; the others the library.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.line = self._library(["\n"])[0]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.fast = _same_ids(path)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words in one text, a line each: a line feed before a word is a token of its own."""
-        bare = [x for x in words if x != "\n"]
-        self.known["\n"] = self.line
-        if not bare:
-            return
-        text = "\n".join([x[1:] if x[:1] == "\n" else " " + x for x in bare])
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
         if self.fast is None or any(t in text for t in self.special):
-            ids = self._library([text])[0]
-        else:
-            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        ends = np.flatnonzero(np.frombuffer(ids, "<u4") == int.from_bytes(self.line, "little")) * 4
-        parts = zip(bare, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True)
-        self.known.update([(x, self.line + ids[a:b] if x[:1] == "\n" else ids[a:b]) for x, a, b in parts])
-
-    @staticmethod
-    def plain(text: str) -> bool:
-        if not text or text[-1] == " " or text[0] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-            return False
-        return not any(c in text for c in (RARE_SPACES[:4] if text.isascii() else RARE_SPACES))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        # a word is known with what comes before it: a line feed is written out, a space is not
-        words = [("\n" + x).replace("\n", " \n")[1:].split(" ") if self.plain(x) else None for x in texts]
-        new = set()
-        for x in words:
-            if x:
-                new.update(x)
-        if len(self.known) > WORDS_KNOWN:
-            self.known = {}
-        new.difference_update(self.known)
-        self._learn(list(new))
-        odd = [i for i, x in enumerate(words) if x is None]
-        whole = dict(zip(odd, self._library([texts[i] for i in odd]), strict=True))
-        known, skip = self.known, len(self.line)
-        return [whole[i] if x is None else b"".join([known[w] for w in x])[skip:] for i, x in enumerate(words)]
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _same_ids(path: str) -> tiktoken.Encoding | None:
@@ -112,8 +68,8 @@ def _same_ids(path: str) -> tiktoken.Encoding | None:
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def _summary(ids: bytes, window: int) -> dict:
@@ -157,6 +113,15 @@ class Index:
         self.doc, self.weight, self.n = doc, weight, n
         self.own = [np.searchsorted(self.terms, t.astype(np.uint32)) for t in terms]
 
+    def forget(self, gone: np.ndarray) -> None:
+        """Takes documents out of the postings, so that later queries don't go through what is used up."""
+        term = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.doc))))
+        kept = ~gone[self.doc]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+        left = np.bincount(term[kept], minlength=len(self.first))
+        self.first = np.cumsum(left) - left
+        self.size = np.where(self.size > 0, left, 0)
+
     def scores(self, seed: int) -> np.ndarray:
         """Scores of all documents for the terms of one."""
         at = self.own[seed]
@@ -170,17 +135,22 @@ class Index:
         return np.bincount(self.doc[entry], self.weight[entry], self.n)
 
 
-def fill_windows(lengths: np.ndarray, neighbours, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill_windows(lengths: np.ndarray, neighbours, window: int = WINDOW, forget=None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start in it, length) that hold each item once; ``neighbours(i)`` scores all items for one.
 
-    Seeds go from the longest item down.  All sequences but the last ones are
+    ``forget`` is told of used-up items each time that a third of the rest has
+    gone.  Seeds go from the longest item down.  All sequences but the last ones are
     full; what is left is cut into lengths that are powers of two.
     """
     n = len(lengths)
     start, left = np.zeros(n, np.int64), lengths.astype(np.int64).copy()
     order = np.lexsort((np.arange(n), -left))
     sequences = []
+    held = n
     for seed in order.tolist():
+        if forget and left[seed] and held > 64 and (now := np.count_nonzero(left)) * 3 < held * 2:
+            forget(left == 0)
+            held = now
         while left[seed]:
             seq, space = [], window
 
@@ -255,7 +225,7 @@ def pack_shard(docs: list[tuple], shard: int, window: int = WINDOW) -> list[tupl
         [np.frombuffer(docs[i][6], np.uint8) for i in items],
         np.array([docs[i][1] for i in items], np.float64),
     )
-    for seq in fill_windows(np.array([len(r) for r in rests]), index.scores, window):
+    for seq in fill_windows(np.array([len(r) for r in rests]), index.scores, window, index.forget):
         offset = 0
         for j, at, size in seq:
             i = items[j]
@@ -277,12 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     @F.arrow_udf("tokens bigint, full binary, rest binary, wide boolean, terms binary, counts binary")
     def summary(column: pa.Array) -> pa.Array:
         own = encoder(tokenizer)
-        texts = [x or "" for x in column.to_pylist()]
-        out: list = [None] * len(texts)
-        for group in grouped(texts):
-            for i, ids in zip(group, own.encode_batch([texts[i] for i in group]), strict=True):
-                out[i] = _summary(ids, window)
-        return pa.array(out, SUMMARY)
+        return pa.array([_summary(own.encode(x or ""), window) for x in column.to_pylist()], SUMMARY)
 
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_shards)).alias("shard"), F.col(key).alias("key"), summary(F.col(text)).alias("s")
