@@ -206,7 +206,10 @@ def frequency_classes(parts: DataFrame, n_parts: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, classes, words: int, percent: int, list_part: int) -> DataFrame:
-    """(gram, salt, s, n, place) of each number in the prefix of each document's set."""
+    """(gram, salt, s, n, place) of each number in the prefix of each document's set.
+
+    salt: 0, or the part (from 1 on) of a list that is likely to hold more than ``list_part`` sets.
+    """
 
     def run(batches):
         for batch in batches:
@@ -221,7 +224,8 @@ def postings(docs: DataFrame, classes, words: int, percent: int, list_part: int)
                 gram = np.concatenate([ranked(s, classes.value)[:k] for s, k in zip(sets, size.tolist(), strict=True)])
                 place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
                 about = np.exp2((gram >> np.uint64(64 - CLASS_BITS)).astype(np.float64) / 4)
-                salt = name.view(np.uint64) % np.ceil(about / list_part).clip(1).astype(np.uint64)
+                parts = np.ceil(about / list_part).clip(1).astype(np.uint64)
+                salt = np.where(parts > 1, name.view(np.uint64) % parts + np.uint64(1), 0)
                 arrays = [gram.view(np.int64), salt.astype(np.int32), name, np.repeat(n, size).astype(np.int32), place.astype(np.int32)]
                 for a in range(0, len(gram), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in arrays], names=["gram", "salt", "s", "n", "place"])
@@ -234,7 +238,8 @@ def stars(rows: DataFrame) -> DataFrame:
 
     First comes the set that has the fewest rarer n-grams before this one: the
     least altered copy, to which the others most likely link.  Lists of one set
-    give no rows.  A list is streamed; only the row before is held.
+    give no rows; parts of salted lists give their first set beside itself as
+    well.  A list is streamed; only the row before is held.
     """
     together = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "place", "s")
 
@@ -257,7 +262,9 @@ def stars(rows: DataFrame) -> DataFrame:
             nth = np.arange(len(gram)) - of
             if last is not None:
                 nth = np.where((of == 0) & (nth > 0), nth + last[2] - 1, nth)
-            out = np.flatnonzero(of != np.arange(len(gram)))
+            headed = (of != np.arange(len(gram))) | (salt > 0)
+            headed[0] &= last is None or (of != np.arange(len(gram)))[0]
+            out = np.flatnonzero(headed)
             at = of[-1]
             last = ([x[at] for x in (gram, salt, s, n, place)], s[-1], int(nth[-1]) + 1 if nth[-1] or at != 0 or last is None else last[2])
             if len(out):
@@ -338,12 +345,11 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     lists = written(stars(postings(own, classes, words, percent, list_part)), "lists")
     # the first sets of the parts of a salted list: a list of their own
-    salted = lists.where("salt > 0").select("gram").distinct()
-    heads = lists.join(salted, "gram", "left_semi").select("gram", F.lit(0).alias("salt"), F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place")).distinct()
+    heads = lists.where("salt > 0 and nth = 0").select("gram", F.lit(0).alias("salt"), "s", "n", "place")
     lists = lists.unionByName(written(stars(heads), "lists"))
 
     pairs = written(
-        lists.where(may_link("first_n", "first_place", "n", "place", percent)).select(F.col("first").alias("a"), F.col("s").alias("b")).distinct(), "pairs"
+        lists.where((F.col("nth") > 0) & may_link("first_n", "first_place", "n", "place", percent)).select(F.col("first").alias("a"), F.col("s").alias("b")).distinct(), "pairs"
     )
     ones = rows.where("n > 0").groupBy("s").agg(F.min("doc").alias("doc"))
 
@@ -355,7 +361,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = components(links)
 
     # lists of three sets or more, in which several components meet
-    long = lists.where("nth > 1").select("gram").distinct()
+    long = lists.where("nth > 1 or salt > 0").select("gram").distinct()
     members = lists.join(long, "gram", "left_semi")
     members = members.select("gram", "s", "n", "place").unionByName(members.select("gram", F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place"))).distinct()
     members = members.join(found, "s", "left").select("gram", "s", "n", "place", F.coalesce("component", "s").alias("c"))
