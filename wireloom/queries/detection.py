@@ -179,7 +179,7 @@ select w.sheet_id, w.prefix, w.id, cast(f.number as int) as number from w join f
 
 def _components(spark, sf):
     names = F.create_map(*(F.lit(x) for i, n in enumerate(sorted(CLASS_PREFIXES)) for x in (i, n)))
-    d = view(spark, sf, "v_detections").where("sheet_id < 25")
+    d = view(spark, sf, "v_detections")
     return d.select("sheet_id", F.col("det_id").alias("comp_id"), names[F.pmod("det_id", F.lit(len(CLASS_PREFIXES))).cast("int")].alias("category"), "x0", "y0", "x1", "y1")
 
 
@@ -192,7 +192,7 @@ ASSIGN_DESIGNATORS = f"""with recursive names(text, designator, prefix) as (valu
 codes(class_no, prefix, code_rank) as (values {_PREFIX_ROWS}),
 q as (select c.sheet_id, c.det_id as comp_id, t.text_id, n.designator, o.code_rank, greatest(60.0, 0.8 * greatest(c.x1 - c.x0, c.y1 - c.y0), 3.0 * greatest(1, t.y1 - t.y0)) as reach,
   sqrt(pow(greatest(c.x0 - (t.x0 + t.x1) / 2.0, 0.0, (t.x0 + t.x1) / 2.0 - c.x1), 2) + pow(greatest(c.y0 - (t.y0 + t.y1) / 2.0, 0.0, (t.y0 + t.y1) / 2.0 - c.y1), 2)) as distance
-  from v_detections c join codes o on o.class_no = c.det_id % {len(CLASS_PREFIXES)} join v_texts t on t.sheet_id = c.sheet_id join names n on n.text = t.text and n.prefix = o.prefix where c.sheet_id < 25),
+  from v_detections c join codes o on o.class_no = c.det_id % {len(CLASS_PREFIXES)} join v_texts t on t.sheet_id = c.sheet_id join names n on n.text = t.text and n.prefix = o.prefix),
 p as (select sheet_id, comp_id, text_id, designator, distance, distance + 4.0 * code_rank as cost from q where distance <= reach),""" + _fold(
     "cost, distance, text_id, comp_id", "sheet_id", "p", "comp_id, text_id, designator, distance", "k.text_id = d.text_id or k.comp_id = d.comp_id or k.designator = d.designator"
 ).replace("with recursive", "") + " select sheet_id, k.comp_id as comp_id, k.text_id as text_id, k.designator as designator, round_even(k.distance, 1) as distance from l"
@@ -210,14 +210,14 @@ select sheet_id, det_id as comp_id, max(text_id) as text_id, max_by(text, text_i
 
 
 def labels_in_box(spark, sf):
-    d = view(spark, sf, "v_detections").where("det_id % 5 = 0")
+    d = view(spark, sf, "v_detections")
     b = g.box()
     boxes = d.select("sheet_id", F.col("det_id").alias("a_id"), g.floor_centre(b[0], b[2]).alias("a_x"), g.floor_centre(b[1], b[3]).alias("a_y"))
     texts = view(spark, sf, "v_texts").select("sheet_id", F.col("text_id").alias("b_id"), "text", g.floor_centre(b[0], b[2]).alias("b_x"), g.floor_centre(b[1], b[3]).alias("b_y"))
     return spatial.nearest(boxes, texts, ["sheet_id"], 100, 10).select("sheet_id", F.col("a_id").alias("det_id"), F.col("b_id").alias("text_id"), "d2", "nth")
 
 
-LABELS_IN_BOX = """with a as (select sheet_id, det_id, cast(floor((x0 + x1) / 2.0) as int) as x, cast(floor((y0 + y1) / 2.0) as int) as y from v_detections where det_id % 5 = 0),
+LABELS_IN_BOX = """with a as (select sheet_id, det_id, cast(floor((x0 + x1) / 2.0) as int) as x, cast(floor((y0 + y1) / 2.0) as int) as y from v_detections),
 b as (select sheet_id, text_id, cast(floor((x0 + x1) / 2.0) as int) as x, cast(floor((y0 + y1) / 2.0) as int) as y from v_texts),
 p as (select a.sheet_id, det_id, text_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from a join b on a.sheet_id = b.sheet_id),
 r as (select *, row_number() over (partition by sheet_id, det_id order by d2, text_id) as nth from p where d2 <= 10000)

@@ -55,13 +55,13 @@ select d.sheet_id, d.x, d.y, list_filter(l.kept, lambda k: (k.x - d.x) * (k.x -
 
 
 def collinear_merge(spark, sf):
-    s = view(spark, sf, "v_segments").where("segment_id % 2 = 0")
-    none = view(spark, sf, "v_pins").where("false")
+    s = view(spark, sf, "v_segments")
+    none = view(spark, sf, "v_pins").limit(0)
     line = s.withColumns({"sy": F.pmod("segment_id", F.lit(6)).cast("int"), "ey": F.pmod("segment_id", F.lit(6)).cast("int"), "sx": (F.pmod("segment_id", F.lit(60)) * 10).cast("int"), "ex": (F.pmod("segment_id", F.lit(60)) * 10 + 58 + F.pmod("segment_id", F.lit(5))).cast("int")})
     return netlist.merge_collinear(line, none, 2.0).select("sheet_id", "sx", "sy", "ex", "ey", "confidence", "merged")
 
 
-COLLINEAR_MERGE = """with s as (select sheet_id, segment_id % 6 as line, segment_id % 60 * 10 as sx, segment_id % 60 * 10 + 58 + segment_id % 5 as ex, confidence from v_segments where segment_id % 2 = 0),
+COLLINEAR_MERGE = """with s as (select sheet_id, segment_id % 6 as line, segment_id % 60 * 10 as sx, segment_id % 60 * 10 + 58 + segment_id % 5 as ex, confidence from v_segments),
 g as (select *, case when sx - lag(ex) over (partition by sheet_id, line order by sx) between -2 and 2 then 0 else 1 end as fresh from s),
 i as (select *, sum(fresh) over (partition by sheet_id, line order by sx) as part from g)
 select sheet_id, cast(min(sx) as int) as sx, cast(line as int) as sy, cast(max(ex) as int) as ex, cast(line as int) as ey, min(confidence) as confidence, cast(count(*) - 1 as int) as merged from i group by sheet_id, line, part"""
@@ -95,7 +95,7 @@ def net_extract(spark, sf):
 
 def net_filter(spark, sf):
     nodes, edges = netlist.build_graph(view(spark, sf, "v_segments"), view(spark, sf, "v_pins"))
-    nets = netlist.filter_nets(netlist.extract_nets(nodes, edges), view(spark, sf, "v_pins").where("x % 25 = 0").select("sheet_id", "component_id").distinct())
+    nets = netlist.filter_nets(netlist.extract_nets(nodes, edges), view(spark, sf, "v_pins").where("x < 300").select("sheet_id", "component_id").distinct())
     return nets.select("sheet_id", "net_id", F.size("connections").alias("n_connections"), F.coalesce(F.size("wire_segments"), F.lit(0)).alias("n_wires"))
 
 

@@ -73,7 +73,7 @@ VERSION_LATEST_STATE = "select user_id, max_by(event_type, (ts, event_id)) as ev
 
 def version_states(spark, sf):
     """The state of a registry after every event: register, promote, reject and comparisons of versions."""
-    e = table(spark, sf, "events").where("event_id < 400")
+    e = table(spark, sf, "events")
     actions = F.element_at(F.array(*map(F.lit, ("register", "promote", "reject", "start_ab", "stop_ab"))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
     log = e.select(F.col("event_id").alias("seq"), actions.alias("action"), F.format_string("v%06d", F.floor(F.col("event_id") / 25)).alias("version_id"))
     return registry.states(log)
@@ -81,22 +81,24 @@ def version_states(spark, sf):
 
 def metric_compare(spark, sf):
     n = table(spark, sf, "nation")
-    a = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("metric"), F.col("n_nationkey").cast("double").alias("value"))
-    b = n.where("n_nationkey % 4 <> 0").select(F.col("n_name").alias("metric"), (F.col("n_nationkey") * 1.5).cast("double").alias("value"))
+    a = n.select(F.col("n_name").alias("metric"), F.col("n_nationkey").cast("double").alias("value"))
+    renamed = F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit(" new"))).otherwise(F.col("n_name"))
+    b = n.select(renamed.alias("metric"), (F.col("n_nationkey") * 1.5).cast("double").alias("value"))
     return feedback.compare_metrics(a, b)
 
 
-METRIC_COMPARE = """with a as (select n_name as metric, cast(n_nationkey as double) as a from nation where n_nationkey % 3 <> 0), b as (select n_name as metric, cast(n_nationkey * 1.5 as double) as b from nation where n_nationkey % 4 <> 0)
+METRIC_COMPARE = """with a as (select n_name as metric, cast(n_nationkey as double) as a from nation), b as (select n_name || case when n_nationkey % 4 = 0 then ' new' else '' end as metric, cast(n_nationkey * 1.5 as double) as b from nation)
 select metric, a, b, b - a as delta from a full join b using (metric)"""
 
 
 def _nets(spark, sf):
     line = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("sheet_id"), "l_orderkey", F.col("l_partkey").cast("string").alias("ref"), "l_partkey")
+    misread = F.when(F.col("l_partkey") % 17 == 0, F.concat(F.lit("?"), "ref")).otherwise(F.col("ref"))
     nets = lambda df: df.groupBy("sheet_id", "l_orderkey").agg(F.collect_set("ref").alias("refs")).select("sheet_id", "refs")
-    return nets(line.where("l_partkey % 17 <> 0")), nets(line)
+    return nets(line.withColumn("ref", misread)), nets(line)
 
 
-_NETS = """with a as (select floor(l_orderkey / 100) as sheet_id, list_sort(list_distinct(list(cast(l_partkey as string)))) as refs from lineitem where l_partkey % 17 <> 0 group by 1, l_orderkey),
+_NETS = """with a as (select floor(l_orderkey / 100) as sheet_id, list_sort(list_distinct(list(case when l_partkey % 17 = 0 then '?' else '' end || l_partkey))) as refs from lineitem group by 1, l_orderkey),
 b as (select floor(l_orderkey / 100) as sheet_id, list_sort(list_distinct(list(cast(l_partkey as string)))) as refs from lineitem group by 1, l_orderkey),
 x as (select distinct * from a where len(refs) >= 2), y as (select distinct * from b where len(refs) >= 2),
 v as (select coalesce(x.sheet_id, y.sheet_id) as sheet_id, coalesce(x.refs, y.refs) as refs, case when x.refs is null then 'missing' when y.refs is null then 'extra' else 'matched' end as verdict
@@ -120,17 +122,16 @@ select cast(sheet_id as bigint) as sheet_id, matched, missing, extra, round(matc
 
 
 def class_remap(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 40")
-    names = p.select(F.concat(F.lit("s"), F.pmod("p_partkey", F.lit(4)).cast("string")).alias("source"), F.pmod("p_partkey", F.lit(4)).cast("int").alias("source_order"), F.floor(F.col("p_partkey") / 4).cast("int").alias("local_id"), F.col("p_name").alias("name"))
+    p = table(spark, sf, "part")
+    names = p.select(F.col("p_brand").alias("source"), F.floor(F.col("p_partkey") / 100).cast("int").alias("source_order"), F.col("p_partkey").cast("int").alias("local_id"), F.col("p_name").alias("name"))
     canonical = spark.createDataFrame([(0, "small ring"), (1, "red widget"), (2, "blue bolt")], "class_id int, name string")
     return datasets.remap_classes(names, canonical).select("source", "local_id", "name", "class_id")
 
 
 CLASS_REMAP = """with c(class_id, name) as (values (0, 'small ring'), (1, 'red widget'), (2, 'blue bolt')),
-n as (select 's' || (p_partkey % 4) as source, p_partkey % 4 as o, cast(floor(p_partkey / 4) as int) as local_id, p_name as name from part where p_partkey < 40),
-f as (select name, min(o * 1000 + local_id) as place from n where name not in (select name from c) group by 1),
+f as (select p_name as name, min(p_partkey) as place from part where p_name not in (select name from c) group by 1),
 m as (select name, cast(3 + row_number() over (order by place) - 1 as int) as class_id from f union all select name, class_id from c)
-select n.source, n.local_id, n.name, m.class_id from n join m using (name)"""
+select p_brand as source, cast(p_partkey as int) as local_id, p_name as name, m.class_id from part join m on p_name = m.name"""
 
 
 def public_classes(spark, sf):

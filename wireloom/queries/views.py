@@ -24,17 +24,18 @@ VIEWS = {
         cast((o_orderkey * 7) % 30 * 50 + (1 - o_orderkey % 2) * (50 + o_orderkey % 3 * 50) as int) as ex,
         cast((o_orderkey * 11) % 13 * 50 + o_orderkey % 2 * (50 + o_orderkey % 3 * 50) as int) as ey,
         cast((o_orderkey * 31) % 1000 as double) / 1000 as confidence from {orders}""",
-    "v_pins": """select cast(floor(o_orderkey / 60.0) as bigint) as sheet_id, concat('C', cast(floor(o_orderkey / 20.0) as bigint)) as component_id,
-        cast(o_orderkey as string) as pin_number, cast((o_orderkey * 41) % 30 * 50 + o_orderkey % 7 as int) as x,
-        cast((o_orderkey * 59) % 13 * 50 + o_orderkey % 5 as int) as y from {orders} where o_orderkey % 7 = 0""",
+    "v_pins": """select cast(floor(c_custkey / 6.0) as bigint) as sheet_id, concat('C', cast(floor(c_custkey / 2.0) as bigint)) as component_id,
+        cast(c_custkey as string) as pin_number, cast((c_custkey * 41) % 30 * 50 + c_custkey % 7 as int) as x,
+        cast((c_custkey * 59) % 13 * 50 + c_custkey % 5 as int) as y from {customer}""",
     "v_feedback": """select event_id as id, cast(user_id as string) as file_id, cast(user_id % 13 as string) as user_id, event_type as original_label,
         case when event_id % 4 = 0 then 'resistor' when event_id % 4 = 1 then 'diode' else event_type end as corrected_label,
         case when event_id % 3 = 0 then 'text' else 'symbol' end as issue_type, ts as created_at from {events}""",
     "v_sheets": """select p_partkey as sheet_id, cast(300 + (p_partkey * 97) % 4000 as int) as width, cast(200 + (p_partkey * 61) % 3000 as int) as height from {part}""",
     "v_truth": """select cast(floor(o_orderkey / 300.0) as bigint) as sheet_id, o_orderkey as truth_id, o_orderpriority as category,
-        cast((o_orderkey * 7919) % 1000 + o_orderkey % 9 as int) as x0, cast((o_orderkey * 104729) % 700 + o_orderkey % 5 as int) as y0,
-        cast((o_orderkey * 7919) % 1000 + 20 + o_custkey % 60 as int) as x1, cast((o_orderkey * 104729) % 700 + 20 + o_custkey % 40 as int) as y1
-        from {orders} where o_orderkey % 6 <> 0""",
+        cast((o_orderkey * 7919) % 1000 + o_orderkey % 9 + case when o_orderkey % 6 = 0 then 5000 else 0 end as int) as x0,
+        cast((o_orderkey * 104729) % 700 + o_orderkey % 5 as int) as y0,
+        cast((o_orderkey * 7919) % 1000 + 20 + o_custkey % 60 + case when o_orderkey % 6 = 0 then 5000 else 0 end as int) as x1,
+        cast((o_orderkey * 104729) % 700 + 20 + o_custkey % 40 as int) as y1 from {orders}""",
 }
 
 
