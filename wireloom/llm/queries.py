@@ -17,6 +17,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: By all pairs that share an n-gram, and what links reach.
+OP1_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as grams from w),
+s as (select doc_id, len(grams) as n, unnest(grams) as gram from g),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) + any_value(b.n) as both_sizes, count(*) as shared from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * shared >= 75 * (both_sizes - shared)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as reached from g union select r.node, e.b from r join e on e.a = r.reached)
+select g.doc_id, len(g.grams) as n_shingles, min(r.reached) as component_id from g join r on r.node = g.doc_id group by all"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -154,4 +166,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op7_url_filters": OP7_SQL}
+ORACLES = {"op1_ngram_jaccard_join": OP1_SQL, "op7_url_filters": OP7_SQL}
