@@ -38,7 +38,8 @@ def oversample(rows: DataFrame, weight: Column, stem: str = "stem") -> DataFrame
 
 def split_rows(rows: DataFrame, key: str, train_share: float = 0.8) -> DataFrame:
     """``rows`` with ``split``: train or val, by a hash of the key, so that it never moves."""
-    return rows.withColumn("split", F.when(F.crc32(F.col(key).cast("string").cast("binary")) % 10_000 < int(train_share * 10_000), "train").otherwise("val"))
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 10_000
+    return rows.withColumn("split", F.when(place < int(train_share * 10_000), "train").otherwise("val"))
 
 
 def label_line(class_id: Column, b: list[Column], width: Column, height: Column) -> Column:

@@ -86,13 +86,45 @@ def graph_degree(spark, sf):
 
 
 def net_extract(spark, sf):
-    s = netlist.snap_to_pins(view(spark, sf, "v_segments"), view(spark, sf, "v_pins"), 15.0)
-    nodes, edges = netlist.build_graph(s, view(spark, sf, "v_pins"))
+    nodes, edges = netlist.build_graph(view(spark, sf, "v_segments"), view(spark, sf, "v_pins"))
     nets = netlist.extract_nets(nodes, edges)
     refs = F.array_join(F.transform("connections", lambda c: F.concat(c["component_id"], F.lit(":"), c["pin"])), " - ")
     return nets.select("sheet_id", "net_id", refs.alias("refs"), F.coalesce(F.size("wire_segments"), F.lit(0)).alias("n_wires"), F.coalesce(F.size("path_points"), F.lit(0)).alias("n_path"), "confidence")
 
 
+#: All ends lie on a lattice, so that an end is on a segment or far from it.
+_GRAPH = """with recursive stop as (
+  select sheet_id, segment_id, sx as x, sy as y from v_segments union select sheet_id, segment_id, ex, ey from v_segments
+  union select s.sheet_id, s.segment_id, p.x, p.y from v_segments s join (select sheet_id, segment_id, sx as x, sy as y from v_segments union all select sheet_id, segment_id, ex, ey from v_segments) p
+    on p.sheet_id = s.sheet_id and p.x between s.sx and s.ex and p.y between s.sy and s.ey),
+step as (select sheet_id, x, y, lead(x) over w as x1, lead(y) over w as y1 from stop window w as (partition by sheet_id, segment_id order by x, y)),
+wire as (select sheet_id, concat('wire_', x, '_', y) as a, concat('wire_', x1, '_', y1) as b from step where x1 is not null),
+degree as (select sheet_id, n, count(*) as d from (select sheet_id, a as n from wire union all select sheet_id, b from wire) group by all)"""
+GRAPH_DEGREE = _GRAPH + " select sheet_id, n as node_id, case when d = 3 then 'T' else 'X' end as junction_type from degree where d >= 3"
+
+_NETS = (
+    _GRAPH
+    + """, pin as (select distinct sheet_id, component_id, pin_number, concat('pin_', component_id, '_', pin_number) as n, concat('wire_', x, '_', y) as at from v_pins),
+edge as (select sheet_id, a, b from wire union select pin.sheet_id, pin.n, pin.at from pin join degree on degree.sheet_id = pin.sheet_id and degree.n = pin.at),
+arc as (select sheet_id, a, b from edge union select sheet_id, b, a from edge),
+node as (select sheet_id, n from degree union select sheet_id, n from pin),
+reach as (select sheet_id, n, n as r from node union select reach.sheet_id, reach.n, arc.b from reach join arc on arc.sheet_id = reach.sheet_id and arc.a = reach.r),
+part as (select sheet_id, n, min(r) as c from reach group by all),
+net as (select sheet_id, c, printf('NET_%03d', row_number() over (partition by sheet_id order by c) - 1) as net_id, count(*) filter (where n like 'wire%') as points from part group by sheet_id, c),
+lines as (select wire.sheet_id, c, count(*) as n_wires, count(distinct least(a, b) || '>' || greatest(a, b)) as n_lines from wire join part on part.sheet_id = wire.sheet_id and part.n = wire.a group by all),
+simple as (select sheet_id, n, count(*) as d from (select distinct sheet_id, a, b from wire union select sheet_id, b, a from wire) t(sheet_id, n, o) group by all),
+shape as (select part.sheet_id, c, count(*) filter (where d = 1) as leaves, max(d) as most from simple join part on part.sheet_id = simple.sheet_id and part.n = simple.n group by all),
+refs as (select pin.sheet_id, c, string_agg(component_id || ':' || pin_number, ' - ' order by component_id, pin_number) as refs, count(*) as n, list(component_id) as owners from pin join part on part.sheet_id = pin.sheet_id and part.n = pin.n group by all)"""
+)
+NET_EXTRACT = _NETS + """ select net.sheet_id, net_id, coalesce(refs, '') as refs, cast(coalesce(n_wires, 0) as int) as n_wires, cast(case when leaves = 2 and most <= 2 then points else 0 end as int) as n_path,
+  case when coalesce(refs.n, 0) >= 2 then 1.0::double else 0.5::double end as confidence
+from net left join lines using (sheet_id, c) left join shape using (sheet_id, c) left join refs using (sheet_id, c)"""
+NET_FILTER = _NETS + """, dots as (select distinct sheet_id, component_id from v_pins where x < 300),
+kept as (select pin.sheet_id, c, count(*) as n from (select * from pin anti join dots using (sheet_id, component_id)) pin join part on part.sheet_id = pin.sheet_id and part.n = pin.n group by all)
+select net.sheet_id, net_id, cast(coalesce(kept.n, 0) as int) as n_connections, cast(coalesce(n_wires, 0) as int) as n_wires
+from net left join lines using (sheet_id, c) left join kept using (sheet_id, c) where coalesce(n_wires, 0) > 0 or coalesce(kept.n, 0) > 1"""
+
+
 def net_filter(spark, sf):
     nodes, edges = netlist.build_graph(view(spark, sf, "v_segments"), view(spark, sf, "v_pins"))
     nets = netlist.filter_nets(netlist.extract_nets(nodes, edges), view(spark, sf, "v_pins").where("x < 300").select("sheet_id", "component_id").distinct())
@@ -113,9 +145,9 @@ ENTRIES = {
     "canonical_points": (canonical_points, CANONICAL_POINTS),
     "collinear_merge": (collinear_merge, COLLINEAR_MERGE),
     "components_cc": (components_cc, COMPONENTS_CC),
-    "graph_degree": (graph_degree, None),
-    "net_extract": (net_extract, None),
-    "net_filter": (net_filter, None),
+    "graph_degree": (graph_degree, GRAPH_DEGREE),
+    "net_extract": (net_extract, NET_EXTRACT),
+    "net_filter": (net_filter, NET_FILTER),
     "graph_pairs": (graph_pairs, GRAPH_PAIRS),
 }
 ORACLES = {k: sql(s) for k, (_, s) in ENTRIES.items() if s}

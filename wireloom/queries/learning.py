@@ -163,6 +163,9 @@ def split_by_hash(spark, sf):
     return datasets.split_rows(table(spark, sf, "part").select("p_partkey"), "p_partkey")
 
 
+SPLIT_BY_HASH = "select p_partkey, case when cast('0x' || substr(md5(cast(p_partkey as string)), 1, 8) as bigint) % 10000 < 8000 then 'train' else 'val' end as split from part"
+
+
 def yolo_lines(spark, sf):
     d = view(spark, sf, "v_detections")
     line = datasets.label_line(F.pmod("det_id", F.lit(33)).cast("int"), g.box(), F.lit(2000), F.lit(1000))
@@ -217,7 +220,7 @@ ENTRIES = {
     "public_classes": (public_classes, PUBLIC_CLASSES),
     "oversample_union": (oversample_union, OVERSAMPLE_UNION),
     "merge_manifest": (merge_manifest, MERGE_MANIFEST),
-    "split_by_hash": (split_by_hash, None),
+    "split_by_hash": (split_by_hash, SPLIT_BY_HASH),
     "yolo_lines": (yolo_lines, YOLO_LINES),
     "coco_ids": (coco_ids, COCO_IDS),
     "page_union": (page_union, PAGE_UNION),
