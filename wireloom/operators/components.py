@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     known = now.unionByName(roots)
     return known.unionByName(alone.join(known, "u", "left_anti")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def local_components(edges: DataFrame, key: str = "sheet_id", a: str = "a", b: str = "b") -> DataFrame:
+    """(key, node, component) as before, for edges (with string ends) that never leave their group: one shuffle, no rounds.
+
+    A group is held in one task, so this is for groups of bounded size, such as sheets.
+    """
+
+    def join_ends(keys, group):
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for x, y in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        return pa.table({"key": pa.array([keys[0].as_py()] * len(nodes), pa.int64()), "node": nodes, "component": [find(x) for x in nodes]})
+
+    rows = edges.select(F.col(key).cast("bigint").alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
+    out = rows.groupBy("key").applyInArrow(join_ends, "key bigint, node string, component string")
+    return out.withColumnRenamed("key", key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import area, intersection
+from wireloom.operators.spatial import spatial_join
 
 
 def greedy_leader(
@@ -95,10 +96,15 @@ def canonical_points(points: DataFrame, tolerance: float = 2.0, key: str = "shee
     """
     close = lambda k, x: (k["x"] - x["x"]) * (k["x"] - x["x"]) + (k["y"] - x["y"]) * (k["y"] - x["y"]) <= tolerance * tolerance
     distinct = points.select(key, "x", "y").distinct()
-    leaders = greedy_leader(distinct, [key], [F.col("x"), F.col("y")], close).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_l"))
-    here = F.struct("x", "y")
-    first = F.element_at(F.filter("_l", lambda k: close(k, here)), 1)
-    return distinct.join(leaders, key).select(key, "x", "y", first["x"].alias("cx"), first["y"].alias("cy"))
+    # a point that is near no other stands for itself; only the others are folded
+    side = lambda s: distinct.select(key, F.struct("x", "y").alias(f"{s}_id"), *(F.col(c[0]).alias(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")))
+    near = lambda: (F.col("a_id") != F.col("b_id")) & close(F.col("a_id"), F.col("b_id"))
+    crowded = spatial_join(side("a"), side("b"), [key], near, max(16, int(4 * tolerance)), tolerance).select(key, "a_id.x", "a_id.y").distinct()
+    leaders = greedy_leader(crowded, [key], [F.col("x"), F.col("y")], close).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_l"))
+    first = F.element_at(F.filter("_l", lambda k: close(k, F.struct("x", "y"))), 1)
+    moved = crowded.join(leaders, key).select(key, "x", "y", first.alias("_c"))
+    out = distinct.join(moved, [key, "x", "y"], "left")
+    return out.select(key, "x", "y", F.coalesce("_c.x", "x").alias("cx"), F.coalesce("_c.y", "y").alias("cy"))
 
 
 def match_one_to_one(pairs: DataFrame, keys: list[str], order: list[Column], sides: list[str]) -> DataFrame:
