@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.llm.quality import ALL, let
+from wireloom.functions.arrays import ALL, let
 
 UNKNOWN = "unknown"
 #: Notices by which public licences are commonly named or granted.

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wireloom.functions.arrays import ALL, let
 from wireloom.llm.shared import SPACE_CLASS, written
 
 #: Character classes in the order in which they are taken out of a text.
@@ -31,8 +32,6 @@ CLASSES = {
     "digit": "[0-9]+",
     "letter": r"\p{L}+",
 }
-#: A length that takes all of an array (the greatest integer would overflow).
-ALL = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -47,11 +46,6 @@ class Rules:
     word_distance: tuple[float, float] = (0.30, 4.0)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words_of(text: Column) -> Column:
     """The words of a text; an empty array for none."""
     # white space at the ends leaves empty words
