@@ -58,7 +58,7 @@ def test_tile_to_sheet(spark):
 
 @pytest.mark.parametrize(
     ("raw", "name"),
-    [("R1", "R1"), ("VD1", "VD1"), ("K1.1", "K1.1"), ("K1,1", "K1.1"), ("К1.1", "K1.1"), ("Х1", "X1"), ("С1", "C1"), ("ЕL2", "EL2"), ("R l", "R1"), ("RO", None), ("HL1", "HL1"), ("FUl", "FU1"), ("SA 1", "SA1"), ("GB1", "GB1"), ("XP12", "XP12"), ("1000", None), ("AVERS", None), ("", None), ("12V", None), ("QQQ1", None)],
+    [("R1", "R1"), ("VD1", "VD1"), ("K1.1", "K1.1"), ("K1,1", "K1.1"), ("К1.1", "K1.1"), ("Х1", "X1"), ("С1", "C1"), ("ЕL2", "EL2"), ("R l", "R1"), ("RO", None), ("HL1", "HL1"), ("FUl", "FU1"), ("SA 1", "SA1"), ("GB1", "GB1"), ("XP12", "XP12"), ("1000", None), ("HOUSE", None), ("", None), ("12V", None), ("QQQ1", None)],
 )
 def test_designators(spark, raw, name):
     assert spark.createDataFrame([(raw,)], "t string").select(t.normalize_designator(F.col("t")).alias("n")).first().n == name
