@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.byte_bpe import grouped
-from wireloom.llm.shared import small_batches, written
+from wireloom.llm.shared import small_batches
+from wireloom.operators.components import components
+from wireloom.tables import written
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency table and how they are cut for summing; 2 ** TABLE_BITS bytes are broadcast.
@@ -310,29 +312,6 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(s, component) of all ends of edges (a, b): the smallest end that links reach.
-
-    Large and small stars in turn, each a minimum by node and a join; the
-    tables are written, and the loop ends when a round changes no edge.
-    """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30))).alias("y")).first()
-        if not found["n"] or (found["n"], found["x"], found["y"]) == mark:
-            return now.select(F.col("u").alias("s"), F.col("v").alias("component"))
-        mark = (found["n"], found["x"], found["y"])
-        # large star: a node's greater neighbours go to the smallest of it and its neighbours
-        arcs = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = arcs.groupBy("u").agg(F.min("v").alias("m"))
-        large = arcs.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        # small star: a node and its smaller neighbours go to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-
-
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
     """doc, n_shingles and component_id (smallest key that links reach) of every row; ``key`` is an integer column."""
     spark = docs.sparkSession
@@ -358,7 +337,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         return written(own.join(ends.join(ones, "s"), "doc").select("s", "text").dropDuplicates(["s"]), "texts")
 
     links = written(verified(pairs, texts_of(pairs), words, percent), "links")
-    found = components(links)
+    found = components(links).withColumnRenamed("node", "s")
 
     # lists of three sets or more, in which several components meet
     long = lists.where("nth > 1 or salt > 0").select("gram").distinct()
@@ -379,7 +358,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if not across.isEmpty():
         more = written(verified(across, texts_of(across), words, percent), "links")
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            found = components(links.unionByName(more)).withColumnRenamed("node", "s")
 
     named = rows.join(found, "s", "left").select("doc", "n", F.coalesce("component", "s").alias("c"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc").alias("component_id"))

@@ -1,11 +1,8 @@
-"""What several operators use: the shared folder, written tables, Arrow batches."""
+"""What several operators use: the word rule's white space, Arrow batches, texts without nulls."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as a Java/RE2 class body.
@@ -14,24 +11,6 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    for key in ("spark.checkpoint.dir",):
-        if found := spark.conf.get(key, None) or spark.sparkContext.getConf().get(key):
-            return found.rstrip("/")
-    made = tempfile.mkdtemp(prefix="wireloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and every reader sees the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wireloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that go to Python, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -40,8 +19,3 @@ def small_batches(spark: SparkSession) -> None:
 
 def or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-
-def rows_of(df: DataFrame) -> int:
-    """A count over no columns: from Parquet's footers where ``df`` is a scan."""
-    return df.count()
