@@ -81,9 +81,9 @@ def segment_facts(sx: Column, sy: Column, ex: Column, ey: Column) -> dict[str, C
 
 
 def perpendicular(ax: Column, ay: Column, bx: Column, by: Column, most: float = 0.2) -> Column:
-    """Whether two direction vectors stand on each other, by the cosine between them."""
-    dot = F.abs(ax * bx + ay * by)
-    return dot <= most * F.hypot(ax, ay) * F.hypot(bx, by)
+    """Whether two direction vectors stand on each other, by the cosine between them; never where one has no length."""
+    dot, lengths = F.abs(ax * bx + ay * by), F.hypot(ax, ay) * F.hypot(bx, by)
+    return (lengths > 0) & (dot <= most * lengths)
 
 
 def turned(x: Column, y: Column, w: Column, h: Column, rotation: Column, mirrored: Column) -> tuple[Column, Column]:
