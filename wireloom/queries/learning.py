@@ -79,6 +79,15 @@ def version_states(spark, sf):
     return registry.states(log)
 
 
+VERSION_STATES = """with log as (select event_id as seq, ['register', 'promote', 'reject', 'start_ab', 'stop_ab'][event_id % 5 + 1] as action, printf('v%06d', cast(floor(event_id / 25.0) as bigint)) as v from events),
+p as (select *, action = 'promote' or (action = 'register' and seq = (select min(seq) from log where action = 'register')) as prom from log),
+b as (select *, last_value(case when prom then v end ignore nulls) over (order by seq rows between unbounded preceding and 1 preceding) as before from p),
+e as (select max_by(v, seq) filter (where prom) as now, max(seq) filter (where prom or action = 'stop_ab') as ended from p),
+o as (select v, max(before) filter (where action = 'register') as parent, max(seq) filter (where prom) as promoted, max(seq) filter (where action = 'reject') as rejected, max(seq) filter (where action = 'start_ab') as compared from b group by v)
+select v as version_id, case when v = now then 'current' when rejected > coalesce(promoted, -1) then 'rejected' when compared > coalesce(ended, -1) then 'challenger'
+  when promoted is not null or compared is not null then 'retired' else 'candidate' end as status, parent from o, e"""
+
+
 def metric_compare(spark, sf):
     n = table(spark, sf, "nation")
     a = n.select(F.col("n_name").alias("metric"), F.col("n_nationkey").cast("double").alias("value"))
@@ -212,7 +221,7 @@ ENTRIES = {
     "ab_route": (ab_route, AB_ROUTE),
     "ab_summary": (ab_summary, AB_SUMMARY),
     "version_latest_state": (version_latest_state, VERSION_LATEST_STATE),
-    "version_states": (version_states, None),
+    "version_states": (version_states, VERSION_STATES),
     "metric_compare": (metric_compare, METRIC_COMPARE),
     "net_eval": (net_eval, NET_EVAL),
     "eval_rollup": (eval_rollup, EVAL_ROLLUP),
