@@ -138,6 +138,22 @@ def test_jaccard_components(spark, monkeypatch, seed, list_part, batch):
     assert got == brute_components(rows)
 
 
+def test_packing_searches_all_shards(spark):
+    rng = np.random.default_rng(12)
+    topics = [[f"word{t}{i}" for i in range(60)] for t in "abcdef"]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], rng.integers(20, 260)))) for i in range(240)]
+    own = packing.encoder(JSON)
+    docs = sorted((packing._summary(own.encode(t), 1024) | {"key": i} for i, t in rows), key=lambda s: (-(s["tokens"] % 1024), s["key"]))
+    terms = [np.frombuffer(s["terms"], "<u2") for s in docs]
+    index = packing.Index(terms, [np.frombuffer(s["counts"], np.uint8) for s in docs], np.array([s["tokens"] for s in docs], float))
+    index.weight = np.rint(256 * index.weight)
+    want = [[(docs[i]["key"], docs[i]["tokens"] // 1024 * 1024 + at, n) for i, at, n in seq] for seq in packing.fill_windows(np.array([s["tokens"] % 1024 for s in docs]), index.scores)]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), JSON, shard_docs=16).where("sequence_id < (1L << 32)").collect():
+        got[r.sequence_id].append((r.offset, r.doc_id, r.start, r.length))
+    assert [[x[1:] for x in sorted(got[k])] for k in sorted(got)] == want
+
+
 def test_filters_lose_no_link():
     rng = np.random.default_rng(6)
     for _ in range(3000):
