@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -150,6 +151,16 @@ def test_each_template_is_recognised(spark, family):
     assert [[x.family for x in r.licences] for r in got] == [[family]] * len(texts)
 
 
+@pytest.mark.parametrize("width", [30, 60, 78])
+def test_wrapped_templates_are_recognised(spark, width):
+    rows = [(f, t) for f, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    texts = ["\n".join(["A plain line about the harbour.", *(f" * {x}" for x in textwrap.wrap(t, width)), "And another one on ships."]) for _, t in rows]
+    texts.append("\n".join(["Released under the MIT license.", *textwrap.wrap(rows[-1][1], 30), "", "no licence here"]))
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    found = {r.doc_id: {x.family for x in r.licences} - {license_scan.UNKNOWN} for r in got}
+    assert [found[i] for i in range(len(texts))] == [{f} for f, _ in rows] + [{"mit", rows[-1][0]}]
+
+
 def test_other_paragraphs_are_no_licences(spark):
     d = spark.createDataFrame(list(enumerate(license_scan.OTHERS)), "doc_id int, text string")
     assert all(x.family == license_scan.UNKNOWN for r in license_scan.scan(d).collect() for x in r.licences)

@@ -1,6 +1,10 @@
 """Licence scans, in DataFrame functions only.
 
-Texts are cut into paragraphs (lines).  A sparse multinomial logistic regression
+Texts are cut into paragraphs (lines).  Neighbouring lines up to a blank line or
+one that holds a whole template are also joined and judged, whole and in overlapping
+windows of twice the longest template's words, so that a notice may be wrapped; a
+joined paragraph counts only where it is confirmed and has its first line's number.
+A sparse multinomial logistic regression
 on word 1- and 2-grams names a paragraph's licence family or ``unknown``; its
 probabilities are calibrated by a temperature.  A prediction counts only if a
 template of that family confirms it: enough of the template's word pairs stand
@@ -188,8 +192,12 @@ def _anchors(containment: float) -> list[str]:
     return sorted(chosen)
 
 
-def paragraph_facts(line: Column, fitted: Model, containment: float, min_score: float) -> Column:
-    """Struct family, score and share of the template that is there, for one paragraph."""
+def paragraph_words(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
+
+
+def paragraph_facts(words: Column, fitted: Model, containment: float, min_score: float) -> Column:
+    """Struct family, score and share of the template that is there, for one paragraph's words."""
     n = len(fitted.families)
     table = F.from_json(F.lit(json.dumps(fitted.weights)), "map<string,array<double>>")
     by_family = [[pairs_in(words_in(t)) for t in TEMPLATES.get(f, [])] for f in fitted.families]
@@ -232,7 +240,6 @@ def paragraph_facts(line: Column, fitted: Model, containment: float, min_score:
             ),
         )
 
-    words = F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
     return let(words, lambda w: let(pairs(w), lambda two: let(judged(w, two), lambda j: confirmed(j, two))))
 
 
@@ -241,13 +248,68 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", containment:
     fitted = model(containment=containment)
     # white space and word ends as the word rule sees them
     anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, fitted.anchors)) + ")(?![a-z0-9])"
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line")))
-    near = F.filter(lines, lambda p: p["line"].rlike(anchor))
-    facts = F.transform(
-        near,
-        lambda p: let(
-            paragraph_facts(p["line"], fitted, containment, min_score),
-            lambda f: F.struct(p["paragraph"].alias("paragraph"), f["family"].alias("family"), f["score"].alias("score"), f["template_share"].alias("template_share")),
-        ),
-    )
-    return docs.select(F.col(key), facts.alias("licences"))
+    window = max(len(words_in(t)) for ts in TEMPLATES.values() for t in ts)
+
+    def judged(number: Column, words: Column) -> Column:
+        return let(
+            paragraph_facts(words, fitted, containment, min_score),
+            lambda f: F.struct(number.alias("paragraph"), f["family"].alias("family"), f["score"].alias("score"), f["template_share"].alias("template_share")),
+        )
+
+    def windows(words: Column) -> Column:
+        """The words whole, and in windows of which one holds any passage of a template's length."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(window))
+        return F.array_distinct(F.concat(F.array(words), F.transform(starts, lambda i: F.slice(words, i, 2 * window))))
+
+    def runs(rows: Column, gap: Column) -> Column:
+        """Neighbouring lines without a gap, joined, where there are two or more and an anchor."""
+        at = F.sequence(F.lit(0), F.size(gap) - 1)
+        first = F.filter(at, lambda i: ~gap[i] & F.coalesce(F.get(gap, i - 1), F.lit(True)) & ~F.coalesce(F.get(gap, i + 1), F.lit(True)))
+        own = F.transform(
+            first,
+            lambda i: let(
+                F.array_position(F.slice(gap, i + 1, ALL), True).cast("int"),
+                lambda n: let(
+                    F.slice(rows, i + 1, F.when(n > 0, n - 1).otherwise(F.lit(ALL))),
+                    lambda xs: F.struct(i.alias("paragraph"), (i + F.size(xs)).alias("end"), F.array_join(xs, "\n").alias("line")),
+                ),
+            ),
+        )
+        return F.filter(own, lambda p: p["line"].rlike(anchor))
+
+    def of_run(run: Column, alone: Column) -> Column:
+        """Each family once a run, and not where one of the run's lines is named so alone."""
+        found = F.filter(F.transform(let(paragraph_words(run["line"]), windows), lambda w: judged(run["paragraph"], w)), lambda f: f["family"] != UNKNOWN)
+        told = F.transform(F.filter(alone, lambda a: (a["paragraph"] >= run["paragraph"]) & (a["paragraph"] < run["end"])), lambda a: a["family"])
+        new = F.filter(found, lambda f: ~F.array_contains(told, f["family"]))
+        return let(new, lambda fs: F.filter(fs, lambda f, i: F.array_position(F.transform(fs, lambda x: x["family"]), f["family"]) == i + 1))
+
+    def told_by(rows: Column, alone: Column, whole: Column) -> Column:
+        """The lines' own verdicts, where lines with a part of a template yield to a join with their neighbours that holds more."""
+        gap = F.transform(rows, lambda x, i: F.array_contains(whole, i) | ~x.rlike(r"\S"))
+
+        def settled(a: Column) -> Column:
+            around = F.transform(F.sequence(a["paragraph"] - 1, a["paragraph"] + 1), lambda i: F.when(~F.array_contains(whole, i), F.get(rows, i)))
+            more = let(
+                judged(a["paragraph"], paragraph_words(F.array_join(around, "\n"))),
+                lambda m: F.when((m["family"] != UNKNOWN) & (m["template_share"] > a["template_share"]), m).otherwise(a),
+            )
+            return F.when((a["family"] != UNKNOWN) & (a["template_share"] < 1), more).otherwise(a)
+
+        return let(
+            F.transform(alone, settled),
+            lambda own: F.concat(own, F.flatten(F.transform(let(gap, lambda g: runs(rows, g)), lambda r: of_run(r, own)))),
+        )
+
+    def all_of(rows: Column) -> Column:
+        near = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda p: p["line"].rlike(anchor))
+        alone = F.transform(near, lambda p: judged(p["paragraph"], paragraph_words(p["line"])))
+
+        def both(a: Column) -> Column:
+            whole = F.transform(F.filter(a, lambda f: (f["family"] != UNKNOWN) & (f["template_share"] >= 1)), lambda f: f["paragraph"])
+            return F.when(F.size(a) > 0, let(whole, lambda w: told_by(rows, a, w))).otherwise(a)
+
+        return let(alone, both)
+
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    return docs.select(F.col(key), let(lines, all_of).alias("licences"))
