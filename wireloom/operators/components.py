@@ -6,19 +6,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.tables import written
+from wireloom.tables import forgotten, written
+
+
+#: Nodes that a task of :func:`_contracted` holds at most before it hands on what it has.
+HELD_NODES = 1 << 20
+
+
+def _find(root: dict, x):
+    """The root of a node, with the path to it shortened; a node that isn't there yet is its own."""
+    top = x
+    while (up := root.setdefault(top, top)) != top:
+        top = up
+    while root[x] != top:
+        root[x], x = top, root[x]
+    return top
+
+
+def _contracted(arcs: DataFrame) -> DataFrame:
+    """Fewer edges (u, v) of the same components: each task joins what its own rows join, and points nodes at the least."""
+
+    def run(batches):
+        root: dict = {}
+
+        def told():
+            ends = [(x, _find(root, x)) for x in list(root)]
+            pairs = [(x, top) for x, top in ends if x != top]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], names=["u", "v"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("u").type
+            for x, y in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                x, y = _find(root, x), _find(root, y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) > HELD_NODES:
+                yield told()
+                root.clear()
+        if root:
+            yield told()
+
+    return arcs.mapInArrow(run, arcs.schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all ends of the edges: the smallest node that edges reach.
 
-    Large and small stars in turn (Kiveris and others, 2014): minima by node,
-    which combine before the shuffle, and joins with these minima.  Each round
-    is written, so that no plan grows; the loop ends when a round changes nothing.
+    Tasks first contract what their own rows join.  Then large and small stars in
+    turn (Kiveris and others, 2014): minima by node, which combine before the
+    shuffle, and joins with these minima.  Each round is written, so that no plan
+    grows; the loop ends when a round changes nothing.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     alone = ends.where("u = v").select("u", "v").distinct()
-    now = written(ends.where("u <> v").distinct(), "edges")
+    now = written(_contracted(ends.where("u <> v")).distinct(), "edges")
     mark = None
     while True:
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
@@ -30,7 +72,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = arcs.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forgotten(last)
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     known = now.unionByName(roots)
     return known.unionByName(alone.join(known, "u", "left_anti")).select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -43,22 +86,13 @@ def local_components(edges: DataFrame, key: str = "sheet_id", a: str = "a", b: s
     """
 
     def join_ends(keys, group):
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            top = x
-            while (up := root.setdefault(top, top)) != top:
-                top = up
-            while root[x] != top:
-                root[x], x = top, root[x]
-            return top
-
+        root: dict = {}
         for x, y in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), strict=True):
-            x, y = find(x), find(y)
+            x, y = _find(root, x), _find(root, y)
             if x != y:
                 root[max(x, y)] = min(x, y)
         nodes = list(root)
-        return pa.table({"key": pa.array([keys[0].as_py()] * len(nodes), pa.int64()), "node": nodes, "component": [find(x) for x in nodes]})
+        return pa.table({"key": pa.array([keys[0].as_py()] * len(nodes), pa.int64()), "node": nodes, "component": [_find(root, x) for x in nodes]})
 
     rows = edges.select(F.col(key).cast("bigint").alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
     out = rows.groupBy("key").applyInArrow(join_ends, "key bigint, node string, component string")

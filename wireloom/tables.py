@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+_MARKED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (one machine, as in tests) gets a
+    temporary folder; a cluster is refused, as its executors wouldn't see each
+    other's files.
+    """
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    made = tempfile.mkdtemp(prefix="wireloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="wireloom-")
+    return _LOCAL[app]
+
+
+def _file_system(spark: SparkSession, path: str):
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and every reader sees the same rows."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and every reader sees the same rows.
+
+    All tables of an application are deleted when its driver ends; ``forgotten`` deletes one before.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wireloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_folder(spark)}/wireloom/{spark.sparkContext.applicationId}"
+    if folder not in _MARKED:
+        _MARKED.add(folder)
+        path, system = _file_system(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        path, system = _file_system(table.sparkSession, table.written_at)
+        system.delete(path, True)
