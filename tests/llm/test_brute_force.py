@@ -128,16 +128,33 @@ def altered(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("seed", "list_part", "batch"), [(1, 1 << 20, 1024), (2, 2, 1024), (3, 1 << 20, 7), (4, 3, 5)])
-def test_jaccard_components(spark, monkeypatch, seed, list_part, batch):
-    """Also with lists cut into parts, and with lists that go over the borders of Arrow batches."""
+@pytest.mark.parametrize(("seed", "list_part", "batch", "block", "mask"), [(1, 1 << 20, 1024, 2048, -1), (2, 2, 5, 3, -1), (3, 1 << 20, 7, 2, 31)])
+def test_jaccard_components(spark, monkeypatch, seed, list_part, batch, block, mask):
+    """Also with lists cut into parts and blocks, with lists that go over the borders of Arrow batches, and with names that agree."""
     monkeypatch.setattr("wireloom.llm.shared.BATCH_ROWS", batch)
     rows = altered(seed, 220)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(docs, list_part=list_part).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(docs, list_part=list_part, block=block, mask=mask).collect()}
     assert got == brute_components(rows)
 
 
+def test_keys_that_are_null_or_stand_twice(spark):
+    words = [f"w{i}" for i in range(40)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, near), (3, one), (1, other), (1, one + " y"), (2, near + " z"), (7, other), (7, other), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jaccard_join.link_components(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (7, 1), (7, 1), (8, 8), (8, 8), (None, 1)])
+    kept = Counter((r.doc_id, r.text or "") for r in jaccard_join.keep_one(docs).collect())
+    assert kept == Counter([(1, other), (1, one + " y"), (8, ""), (8, "")])
+
+
+def test_keys_of_text(spark):
+    docs = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "four")], "k string, body string")
+    got = {r.k: r.component_id for r in jaccard_join.link_components(docs, "k", "body").collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_packing_searches_all_shards(spark):
     rng = np.random.default_rng(12)
     topics = [[f"word{t}{i}" for i in range(60)] for t in "abcdef"]

@@ -12,18 +12,23 @@ set from here on, named by a 64-bit signature.
 Candidates.  Prefix n-grams are shuffled and sorted.  Each list of the sets
 that share one is streamed: its first set, the one with the fewest rarer
 n-grams, is paired with every other (a star, not all pairs), if the length and
-positional filters pass.  Each pair is
-verified once, after a suffix filter, on the whole texts.  Links make
-components.  Only in lists that still touch several components can a link be
-missing that matters: there all pairs across components that pass the filters
-are verified as well, so no component is ever short of a link.  N-grams whose
-class says that their list is very long are salted; the first sets of the parts
-of a list are then starred among themselves.
+positional filters pass.  Each pair is verified once, after a suffix filter, on
+the whole texts.  Links make components.  Only in lists that still touch several
+components can a link be missing that matters: there every set outside the
+list's largest component meets the sets of other components, and what passes the
+filters is verified as well, so no component is ever short of a link.  These
+lists are cut into blocks, so that no task meets more than a block's pairs.
+N-grams whose counter stands out from the others by more than ``list_part`` are
+salted; the first sets of the parts of a list are then starred among themselves.
+
+Rows, not keys, carry the texts: each row has a number of its own.
 
 Defined results: null, empty and blank texts have no n-grams and are alone.
-Repeated rows and equal texts share a component.  A null key never names a
-component unless all its keys are null.  Ties don't arise: the smallest key
+Repeated rows and equal texts share a component.  A null key names no component
+unless all its keys are null, but its text links like any other.  A key on rows
+with different texts is judged row by row.  Ties don't arise: the smallest key
 names a component.  Empty tables give empty results; extra columns are ignored.
+Two different sets whose signatures agree are told apart by a second signature.
 """
 
 from __future__ import annotations
@@ -32,13 +37,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.llm.byte_bpe import grouped
 from wireloom.llm.shared import small_batches
 from wireloom.operators.components import components
-from wireloom.tables import written
+from wireloom.tables import forgotten, written
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency table and how they are cut for summing; 2 ** TABLE_BITS bytes are broadcast.
@@ -47,6 +53,10 @@ TABLE_BITS, SLICES, FAN_IN = 22, 64, 64
 CLASS_BITS = 7
 #: Sets that one part of a list may hold, about.
 LIST_PART = 1 << 20
+#: Sets of a block of a list in which components meet.
+BLOCK_SETS = 2048
+#: Bits that names of sets keep; fewer in tests, so that names agree.
+NAME_MASK = (1 << 64) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BYTES = None
 _POWERS = np.ones(1, np.uint64)
@@ -108,12 +118,17 @@ def gram_hashes(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signature(hashes: np.ndarray) -> int:
+def signature(hashes: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit name of a set."""
-    total = _mix(hashes + _ODD[0]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes))
+    total = _mix(hashes + _ODD[seed]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes))
     return int(_mix(total).view(np.int64)[0])
 
 
+def names_of(hashes: np.ndarray, mask: int) -> tuple[int, int]:
+    """A set's name, cut to a mask, and its second signature."""
+    return int(np.uint64(signature(hashes) & mask & 0xFFFFFFFFFFFFFFFF).view(np.int64)), signature(hashes, 1)
+
+
 def ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The numbers by which a set is sorted, sorted: frequency class first, hash after it."""
     cell = classes[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
@@ -152,13 +167,18 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
-    """A row (doc, n, s) for each document, and rows (slice, counts) of the tasks' frequency tables."""
+def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
+    """The rows of ``docs`` (doc, text, rest) with number, n, s and s2, and rows (slice, counts) of the tasks' frequency tables."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    told = "number bigint, n bigint, s bigint, s2 bigint, slice int, counts binary"
+    own = list(kinds)
 
     def run(batches):
         table = np.zeros(1 << TABLE_BITS, np.uint32)
+        number, types = TaskContext.get().partitionId() << 33, None
         for batch in batches:
-            texts, keys = _texts(batch, "text"), batch.column("doc")
+            types = [batch.schema.field(c).type for c in own]
+            texts = _texts(batch, "text")
             for group in grouped(texts):
                 sets = gram_hashes([texts[i] for i in group], words)
                 full = [s for s in sets if len(s)]
@@ -166,23 +186,24 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     cells = (np.concatenate(full) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                     table += np.bincount(cells, minlength=len(table)).astype(np.uint32)
                 n = len(group)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.slice(group[0], n),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.nulls(n, pa.int32()),
-                        pa.nulls(n, pa.binary()),
-                    ],
-                    names=["doc", "n", "s", "slice", "counts"],
-                )
-        parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(SLICES, -1)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
-            names=["doc", "n", "s", "slice", "counts"],
-        )
-
-    return docs.mapInArrow(run, "doc bigint, n bigint, s bigint, slice int, counts binary")
+                names = [names_of(s, mask) if len(s) else (None, None) for s in sets]
+                made = [
+                    pa.array(np.arange(number, number + n)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([x for x, _ in names], pa.int64()),
+                    pa.array([x for _, x in names], pa.int64()),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
+                ]
+                number += n
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group[0], n) for c in own), *made], names=[*own, *made_names])
+        if types:
+            parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(SLICES, -1)]
+            nothing = [pa.nulls(SLICES, t) for t in [*types, *[pa.int64()] * 4]]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=[*own, *made_names])
+
+    made_names = ["number", "n", "s", "s2", "slice", "counts"]
+    return docs.mapInArrow(run, ", ".join([f"{c} {k}" for c, k in kinds.items()] + [told]))
 
 
 def frequency_classes(parts: DataFrame, n_parts: int) -> np.ndarray:
@@ -201,28 +222,27 @@ def frequency_classes(parts: DataFrame, n_parts: int) -> np.ndarray:
         # by content, so that a repeated task deals its rows in the same way
         spread = F.pmod(F.xxhash64("slice", "counts"), F.lit(n_parts))
         parts = parts.withColumn("part", spread).groupBy("slice", "part").applyInArrow(add, "slice int, counts binary")
-    out = np.zeros((SLICES, (1 << TABLE_BITS) // SLICES), np.uint8)
+    out = np.zeros((SLICES, (1 << TABLE_BITS) // SLICES), np.uint32)
     for r in parts.collect():
-        out[r["slice"]] = class_of(np.frombuffer(zlib.decompress(r["counts"]), np.uint32))
-    return out.ravel()
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    # what a counter holds by chance alone says nothing about one n-gram
+    return class_of(np.maximum(out.ravel().astype(np.int64) - 2 * int(out.mean()), 1))
 
 
 def postings(docs: DataFrame, classes, words: int, percent: int, list_part: int) -> DataFrame:
-    """(gram, salt, s, n, place) of each number in the prefix of each document's set.
+    """(gram, salt, s, n, place) of each number in the prefix of each row's set; ``docs`` has s and text.
 
     salt: 0, or the part (from 1 on) of a list that is likely to hold more than ``list_part`` sets.
     """
 
     def run(batches):
         for batch in batches:
-            texts = _texts(batch, "text")
+            texts, names = _texts(batch, "text"), batch.column("s").to_numpy(zero_copy_only=False)
             for group in grouped(texts):
-                sets = [s for s in gram_hashes([texts[i] for i in group], words) if len(s)]
-                if not sets:
-                    continue
+                sets = gram_hashes([texts[i] for i in group], words)
                 n = np.array([len(s) for s in sets])
                 size = n + (-percent * n // 100) + 1
-                name = np.repeat(np.array([signature(s) for s in sets], np.int64), size)
+                name = np.repeat(names[group], size)
                 gram = np.concatenate([ranked(s, classes.value)[:k] for s, k in zip(sets, size.tolist(), strict=True)])
                 place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
                 about = np.exp2((gram >> np.uint64(64 - CLASS_BITS)).astype(np.float64) / 4)
@@ -312,55 +332,90 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
-    """doc, n_shingles and component_id (smallest key that links reach) of every row; ``key`` is an integer column."""
+def across_components(lists: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of sets of one list that lie in different components and pass the filters.
+
+    One of the two lies outside the list's largest component.  Both sides of a
+    list go into blocks: a task meets block by block, whatever a list holds.
+    """
+    long = lists.where("nth > 1 or salt > 0").select("gram").distinct()
+    near = lists.join(long, "gram", "left_semi")
+    rows = near.select("gram", "s", "n", "place").unionByName(near.where("nth > 0").select("gram", F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place")).distinct())
+    rows = rows.distinct().join(found, "s", "left").select("gram", "s", "n", "place", F.coalesce("component", "s").alias("c"))
+    counts = rows.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
+    mixed = counts.agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select(
+        "gram",
+        F.col("most.c").alias("main"),
+        F.ceil(F.col("k") / block).cast("int").alias("blocks"),
+        F.ceil((F.col("k") - F.col("most.k")) / block).cast("int").alias("other_blocks"),
+    )
+    rows = written(rows.join(mixed, "gram").select("gram", "s", "n", "place", "c", "main", "blocks", "other_blocks"), "members")
+
+    def to(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
+
+    every = rows.select("gram", "s", "n", "place", "c", own("blocks").alias("i"), to("other_blocks").alias("j"))
+    other = rows.where("c <> main").select("gram", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"), F.col("main"), own("other_blocks").alias("j"), to("blocks").alias("i"))
+    # of two sets outside the largest component each pair comes up once
+    once = (F.col("c") == F.col("main")) | (F.col("c") < F.col("c2"))
+    met = every.join(other, ["gram", "i", "j"]).where((F.col("c") != F.col("c2")) & once & may_link("n", "place", "n2", "place2", percent))
+    return met.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()
+
+
+def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int, list_part: int, block: int, mask: int, rest: list[str]) -> DataFrame:
+    """number, doc, text, rest, n, s and c (the component, by its smallest name; null without n-grams) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    told = written(describe(own, words), "sets")
+    carried = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("string")
+    own = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("rest"))
+    told = written(describe(own, words, mask), "sets")
     tables = told.where(F.col("slice").isNotNull())
     classes = spark.sparkContext.broadcast(frequency_classes(tables, tables.where("slice = 0").count()))
-    rows = told.where(F.col("slice").isNull()).select("doc", "n", "s")
-
-    lists = written(stars(postings(own, classes, words, percent, list_part)), "lists")
+    rows = told.where(F.col("slice").isNull()).drop("slice", "counts")
+    # few, if any: sets that differ and have one name; they are named by their second signature
+    twice = [r.s for r in rows.where("n > 0").groupBy("s").agg(F.min("s2").alias("low"), F.max("s2").alias("high")).where("low <> high").select("s").collect()]
+    if twice:
+        rows = rows.withColumn("s", F.when(F.col("s").isin(twice), F.col("s2")).otherwise(F.col("s")))
+    full = rows.where("n > 0")
+
+    lists = first = written(stars(postings(full.select("s", "text"), classes, words, percent, list_part)), "lists")
     # the first sets of the parts of a salted list: a list of their own
-    heads = lists.where("salt > 0 and nth = 0").select("gram", F.lit(0).alias("salt"), "s", "n", "place")
-    lists = lists.unionByName(written(stars(heads), "lists"))
+    heads = first.where("salt > 0 and nth = 0").select("gram", F.lit(0).alias("salt"), "s", "n", "place")
+    second = written(stars(heads), "lists")
+    lists = first.unionByName(second)
 
     pairs = written(
         lists.where((F.col("nth") > 0) & may_link("first_n", "first_place", "n", "place", percent)).select(F.col("first").alias("a"), F.col("s").alias("b")).distinct(), "pairs"
     )
-    ones = rows.where("n > 0").groupBy("s").agg(F.min("doc").alias("doc"))
+    ones = full.groupBy("s").agg(F.min("number").alias("number"))
 
-    def texts_of(found: DataFrame) -> DataFrame:
-        ends = found.select(F.col("a").alias("s")).unionByName(found.select(F.col("b").alias("s"))).distinct()
-        return written(own.join(ends.join(ones, "s"), "doc").select("s", "text").dropDuplicates(["s"]), "texts")
+    def texts_of(ends: DataFrame) -> DataFrame:
+        ends = ends.select(F.col("a").alias("s")).unionByName(ends.select(F.col("b").alias("s"))).distinct()
+        return written(full.select("number", "text").join(ones.join(ends, "s"), "number").select("s", "text"), "texts")
 
-    links = written(verified(pairs, texts_of(pairs), words, percent), "links")
+    texts = texts_of(pairs)
+    links = written(verified(pairs, texts, words, percent), "links")
     found = components(links).withColumnRenamed("node", "s")
-
-    # lists of three sets or more, in which several components meet
-    long = lists.where("nth > 1 or salt > 0").select("gram").distinct()
-    members = lists.join(long, "gram", "left_semi")
-    members = members.select("gram", "s", "n", "place").unionByName(members.select("gram", F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place"))).distinct()
-    members = members.join(found, "s", "left").select("gram", "s", "n", "place", F.coalesce("component", "s").alias("c"))
-    mixed = members.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
-    members = written(members.join(mixed, "gram", "left_semi"), "members")
-    other = members.select("gram", *(F.col(c).alias(f"{c}2") for c in ("s", "n", "place", "c")))
-    across = (
-        members.join(other, "gram")
-        .where((F.col("c") < F.col("c2")) & may_link("n", "place", "n2", "place2", percent))
-        .select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    across = written(across, "pairs")
+    across = written(across_components(lists, found, percent, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    forgotten(texts, first, second, pairs)
     if not across.isEmpty():
-        more = written(verified(across, texts_of(across), words, percent), "links")
+        texts = texts_of(across)
+        more = written(verified(across, texts, words, percent), "links")
+        forgotten(texts)
         if not more.isEmpty():
             found = components(links.unionByName(more)).withColumnRenamed("node", "s")
+    return rows.join(found, "s", "left").select("number", "doc", "text", "rest", "n", "s", F.coalesce("component", "s").alias("c"))
 
-    named = rows.join(found, "s", "left").select("doc", "n", F.coalesce("component", "s").alias("c"))
+
+def link_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, list_part: int = LIST_PART, block: int = BLOCK_SETS, mask: int = NAME_MASK
+) -> DataFrame:
+    """key, n_shingles and component_id (smallest key that links reach) of every row; ``key`` is a column that can be ordered."""
+    named = linked_rows(docs, key, text, words, percent, list_part, block, mask, []).select("doc", "n", "c")
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc").alias("component_id"))
     return named.join(smallest, "c", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
@@ -368,9 +423,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of its smallest key; rows without a key stay, as nothing names them."""
-    groups = link_components(docs, key, text, words, percent)
-    first = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    row = docs.select(F.col(key).cast("long").alias("_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    kept = row.join(first, "_key").groupBy("_key").agg(F.first("_row").alias("_row"))
-    return kept.select("_row.*").unionByName(docs.where(F.col(key).isNull()))
+    """One row of each component: that of its smallest key, of several the one with the smallest text and other columns.
+
+    Rows without n-grams, which link with nothing, all stay; so do different
+    texts under one key, which are documents of their own.
+    """
+    rest = [c for c in docs.columns if c != text]
+    rows = linked_rows(docs, key, text, words, percent, LIST_PART, BLOCK_SETS, NAME_MASK, rest)
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", F.xxhash64("text").alias("t"), F.xxhash64(F.to_json("rest")).alias("r"), "number")
+    first = rows.where("n > 0").groupBy("c").agg(F.min(order).alias("first")).select(F.col("first.number").alias("number"))
+    alone = rows.where("n = 0").select("text", "rest")
+    kept = rows.where("n > 0").select("number", "text", "rest").join(first, "number", "left_semi").select("text", "rest").unionByName(alone)
+    kind = docs.schema[text].dataType
+    return kept.select(*(F.col("text").cast(kind).alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
