@@ -46,20 +46,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan(table(spark, sf_dir, "documents"))
-    named = F.filter("licences", lambda x: x["family"] != license_scan.UNKNOWN)
-    best = F.try_element_at(F.sort_array(F.transform("named", lambda x: F.struct((-x["score"]).alias("s"), x["paragraph"], x["family"]))), F.lit(1))
-    return (
-        scanned.withColumn("named", named)
-        .withColumn("best", best)
-        .select(
-            "doc_id",
-            F.col("best.family").alias("family"),
-            (-F.col("best.s")).alias("score"),
-            F.col("best.paragraph").alias("paragraph"),
-            F.array_join(F.sort_array(F.array_distinct("named.family")), ",").alias("families"),
-            F.size("named").alias("n_paragraphs"),
-            (F.size("licences") - F.size("named")).alias("n_unknown"),
-        )
+    best = F.try_element_at(F.sort_array(F.transform("licences", lambda x: F.struct((-x["score"]).alias("s"), x["paragraph"], x["family"]))), F.lit(1))
+    return scanned.withColumn("best", best).select(
+        "doc_id",
+        F.col("best.family").alias("family"),
+        (-F.col("best.s")).alias("score"),
+        F.col("best.paragraph").alias("paragraph"),
+        F.array_join(F.sort_array(F.array_distinct("licences.family")), ",").alias("families"),
+        F.size("licences").alias("n_paragraphs"),
+        "n_unknown",
     )
 
 
