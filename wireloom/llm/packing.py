@@ -1,33 +1,38 @@
 """Packing by lexical retrieval.
 
 Documents are encoded once.  Full windows of a document are sequences of their
-own; the rests are ordered from the longest down and are seeds in this order.  BM25
-over all documents gives each seed its unused neighbours, which greedily fill its
-window; the last one is cut where the window ends and its rest stays for later
-windows.  What is left at the end is cut into sequences whose lengths are powers
-of two, so that nothing is padded.
-
-The index lies in shards of bounded size; document frequencies, their number and
-mean length are those of the whole table.  A block of seeds asks every shard; the
-best of all shards are merged, and the driver, which holds the length that is left
-of each document, fills the windows.  A seed whose merged list is used up ends its
-block and asks again, so the result is that of one index over all documents.
+own; the rests are seeds from the longest down.  BM25 gives each seed its unused
+neighbours, which greedily fill its window; the last one is cut where the window
+ends and its rest stays for later windows.  What is left at the end of a shard is
+cut into sequences whose lengths are powers of two, so that nothing is padded.
+
+The index lies in shards of bounded rows and bytes, and a seed asks its own
+shard.  Document frequencies, their number and the mean length are those of the
+whole table.  Shards are lexical: rows are sorted by the nearest of a few
+centroids, then by weighted minimum hashes of their terms (two documents agree in
+one as often as their weighted Jaccard similarity says), and the sorted rows are
+cut into shards; so copies and documents of one topic lie together, and a group
+of any size is cut, never gathered.  What this loses against one index over all
+documents is measured (README); :func:`routes` and :class:`Index` are what it is
+measured with.
 
 Defined results: a null or empty text is a document of the one end token.
-Repeated rows are documents of their own.  Ties go by the order of the seeds (by
-rest, then key, then length and content).  Weights are multiples of 1/256, which
-makes sums exact.  Empty tables give no pieces.
+Repeated rows are documents of their own.  Ties go by the sorted order (routes,
+then a hash of key and terms, then key, length, content).  Empty tables give no
+pieces.  The centroids are fitted on at most ``sample`` documents, chosen by hash.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from functools import cache, reduce
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,10 +41,14 @@ from wireloom.llm.shared import small_batches
 from wireloom.llm.token_counts import PIECE, byte_letters
 from wireloom.tables import written
 
-WINDOW, END_ID, SHARD_DOCS = 1024, 0, 2048
+WINDOW, END_ID = 1024, 0
 K1, B = 1.2, 0.75
-#: Seeds of a block, neighbours asked for at first, entries of a block's lists; seeds in one matrix; pieces a written table holds.
-SEEDS, NEAR, ENTRIES, CHUNK, PIECES = 2048, 128, 1 << 20, 256, 1 << 18
+#: Documents and bytes of a shard; shards that a task gets, about, and tasks at most.
+SHARD_DOCS, SHARD_BYTES, TASK_SHARDS, TASKS = 2048, 16 << 20, 2, 1 << 15
+#: Documents that centroids are fitted on, at most; centroids, the cells that terms are hashed to, rounds.
+SAMPLE, CENTROIDS, CELLS, ROUNDS = 4096, 32, 2048, 8
+#: Minimum hashes of a route.
+HASHES = 3
 
 
 class TextEncoder:
@@ -95,10 +104,21 @@ def _summary(ids: bytes, window: int) -> dict:
         "rest": tokens[full * window :].astype("<u4").tobytes() if tokens.max() >= 65536 else tokens[full * window :].astype("<u2").tobytes(),
         "wide": bool(tokens.max() >= 65536),
         "terms": ordered[first].astype("<u4").tobytes() if tokens.max() >= 65536 else ordered[first].astype("<u2").tobytes(),
-        "counts": np.minimum(np.diff(np.append(first, len(ordered))), 255).astype(np.uint8).tobytes(),
+        "counts": _narrow(np.diff(np.append(first, len(ordered)))).tobytes(),
     }
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as many bytes each as the largest needs: 1 or 4."""
+    return counts.astype("<u4" if counts.max(initial=0) > 255 else np.uint8)
+
+
+def terms_of(terms: bytes, counts: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A document's term ids and their counts, from the stored bytes."""
+    term = np.frombuffer(terms, "<u4" if wide else "<u2")
+    return term, np.frombuffer(counts, np.uint8 if len(counts) == len(term) else "<u4")
+
+
 SUMMARY = pa.struct(
     [("tokens", pa.int64()), ("full", pa.binary()), ("rest", pa.binary()), ("wide", pa.bool_()), ("terms", pa.binary()), ("counts", pa.binary())]
 )
@@ -109,28 +129,40 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return np.where(df > 1, np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))), 0)
 
 
-def weights_of(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
-    """BM25 weights in units of 1/256: sums below 2^24 are exact in any order."""
-    return np.rint(256 * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole table: weight of each term id, and the mean length."""
+
+    idf: np.ndarray
+    mean: float
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+
+def statistics(terms: list[np.ndarray], lengths: np.ndarray) -> Statistics:
+    """The same for documents in memory."""
+    every = np.concatenate([*terms, np.zeros(1, np.uint32)]).astype(np.int64)
+    return Statistics(idf_of(np.bincount(every[:-1], minlength=int(every.max()) + 1), len(terms)), float(lengths.mean()))
 
 
 class Index:
-    """BM25 over documents in memory; terms in half of them or more weigh nothing."""
+    """BM25 over documents in memory; terms in half of them or more, or in one, weigh nothing."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray):
-        n = len(terms)
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, known: Statistics | None = None):
+        known = known or statistics(terms, lengths)
+        self.n = len(terms)
         term = np.concatenate(terms).astype(np.uint32)
-        doc = np.repeat(np.arange(n), [len(t) for t in terms])
+        doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
         tf = np.concatenate(counts).astype(np.float64)
+        kept = known.idf[term] > 0
+        term, doc, tf = term[kept], doc[kept], tf[kept]
         order = np.argsort(term, kind="stable")
-        term, doc, tf = term[order], doc[order], tf[order]
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = idf_of(df, n)
-        norm = K1 * (1 - B + B * lengths[doc] / lengths.mean())
-        weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
-        self.first, self.size = first, np.where(idf > 0, df, 0)
-        self.doc, self.weight, self.n = doc, weight, n
-        self.own = [np.searchsorted(self.terms, t.astype(np.uint32)) for t in terms]
+        term, self.doc, tf = term[order], doc[order], tf[order]
+        self.terms, self.first, self.size = np.unique(term, return_index=True, return_counts=True)
+        self.weight = known.weights(term, tf, lengths[self.doc])
+        own = [t[known.idf[t] > 0].astype(np.uint32) for t in terms]
+        self.own = [np.searchsorted(self.terms, t) for t in own]
 
     def forget(self, gone: np.ndarray) -> None:
         """Takes documents out of the postings, so that later queries don't go through what is used up."""
@@ -139,7 +171,7 @@ class Index:
         self.doc, self.weight = self.doc[kept], self.weight[kept]
         left = np.bincount(term[kept], minlength=len(self.first))
         self.first = np.cumsum(left) - left
-        self.size = np.where(self.size > 0, left, 0)
+        self.size = left
 
     def scores(self, seed: int) -> np.ndarray:
         """Scores of all documents for the terms of one."""
@@ -221,245 +253,184 @@ def _powers(seq: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]
     return out
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the ``count`` highest scores and their ids, ties by id; ids are one rising row or one for each row."""
-    ids = np.broadcast_to(ids, scores.shape)
-    if scores.shape[1] <= count:
-        return scores, ids
-    if ids.strides[0]:
-        order = np.argsort(ids, axis=1)
-        scores, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-    # scores are whole numbers: with the place of the id below them no two are the same
-    rank = np.arange(scores.shape[1]) - scores.astype(np.int64) * (1 << 32)
-    at = np.argpartition(rank, count - 1, axis=1)[:, :count]
-    return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
-
-
-class Shard:
-    """The postings of one shard's documents that are still there, for queries by the statistics of the whole table."""
-
-    def __init__(self, row: dict, alive: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float):
-        ids = np.frombuffer(row["ids"], "<i8")
-        length = np.frombuffer(row["lengths"], "<i8")
-        term = np.repeat(np.frombuffer(row["terms"], "<u4"), np.frombuffer(row["sizes"], "<u4"))
-        doc = np.frombuffer(row["docs"], "<u4")
-        tf = np.frombuffer(row["counts"], np.uint8)
-        there = np.unpackbits(alive[ids >> 3, None], axis=1, bitorder="little")[np.arange(len(ids)), ids & 7] > 0
-        place = np.cumsum(there) - 1
-        kept = there[doc] & (idf[term] > 0)
-        term, doc, tf = term[kept], doc[kept], tf[kept].astype(np.float64)
-        weight = weights_of(idf[term], tf, length[doc], mean).astype(np.float32)
-        self.ids, doc = ids[there], place[doc]
-        dense = common[term] >= 0
-        self.matrix = np.zeros((int(common.max(initial=-1)) + 1, len(self.ids)), np.float32)
-        self.matrix[common[term[dense]], doc[dense]] = weight[dense]
-        self.doc, self.weight = doc[~dense], weight[~dense]
-        self.first = np.searchsorted(term[~dense], np.arange(len(idf) + 1))
-
-    def scores(self, queries: list[np.ndarray], common: np.ndarray) -> np.ndarray:
-        """A row for each query; terms that many documents have go by a matrix, the others by their postings."""
-        asked = np.zeros((len(queries), len(self.matrix)), np.float32)
-        out = np.empty((len(queries), len(self.ids)), np.float32)
-        for i, terms in enumerate(queries):
-            place = common[terms]
-            asked[i, place[place >= 0]] = 1
-            rare = terms[place < 0]
-            begin, size = self.first[rare], self.first[rare + 1] - self.first[rare]
-            ends = np.cumsum(size)
-            entry = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-            out[i] = np.bincount(self.doc[entry], self.weight[entry], len(self.ids))
-        return out + asked @ self.matrix
-
-
-def near_seeds(index: DataFrame, queries: list[np.ndarray], count: int, alive: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float) -> list[np.ndarray]:
-    """For each query the ids of its ``count`` best documents of all shards, best first."""
-    chunks = [queries[i : i + CHUNK] for i in range(0, len(queries), CHUNK)]
-
-    def emitted(chunk: int, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"chunk": pa.array([chunk], pa.int64()), "scores": [scores.astype("<f4").tobytes()], "ids": [ids.astype("<i8").tobytes()]})
-
-    def asked(batches):
-        best: dict[int, tuple] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, alive, idf, common, mean)
-                if not len(shard.ids):
-                    continue
-                for c, own in enumerate(chunks):
-                    scores, ids = best_of(shard.scores(own, common), shard.ids, count)
-                    if c in best:
-                        scores, ids = best_of(np.hstack([best[c][0], scores]), np.hstack([best[c][1], ids]), count)
-                    best[c] = scores, ids
-        for c, (scores, ids) in best.items():
-            yield emitted(c, scores, ids)
-
-    def merged(keys, group):
-        c = keys[0].as_py()
-        rows = len(chunks[c])
-        scores = np.hstack([np.frombuffer(x, "<f4").reshape(rows, -1) for x in group.column("scores").to_pylist()])
-        ids = np.hstack([np.frombuffer(x, "<i8").reshape(rows, -1) for x in group.column("ids").to_pylist()])
-        return pa.Table.from_batches([emitted(c, *best_of(scores, ids, count))])
-
-    kind = "chunk bigint, scores binary, ids binary"
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    for row in index.mapInArrow(asked, kind).groupBy("chunk").applyInArrow(merged, kind).collect():
-        rows = len(chunks[row.chunk])
-        scores, ids = np.frombuffer(row.scores, "<f4").reshape(rows, -1), np.frombuffer(row.ids, "<i8").reshape(rows, -1)
-        for i in range(rows):
-            found[row.chunk * CHUNK + i] = ids[i][np.lexsort((ids[i], -scores[i]))]
-    return found
-
-
-def packed_rests(lengths: np.ndarray, near, window: int = WINDOW):
-    """Sequences as of ``fill_windows`` for items that are ordered from the longest down.
-
-    ``near(seeds, count, left)`` gives the best ``count`` of what is left for each
-    of some seeds.  A list that is used up before its window is full ends the block.
-    """
-    left, start = lengths.astype(np.int64), np.zeros(len(lengths), np.int64)
-    at, block, count = 0, SEEDS, NEAR
-    while at < len(left):
-        seeds = at + np.flatnonzero(left[at : at + 4 * block])[:block]
-        if not len(seeds):
-            at += 4 * block
-            continue
-        open_items = np.count_nonzero(left)
-        lists, done = near(seeds, count, left), len(seeds)
-        for k, seed in enumerate(seeds.tolist()):
-            if not left[seed]:
-                continue
-            items = lists[k]
-            items = items[(left[items] > 0) & (items != seed)]
-            ends = np.cumsum(np.append(left[seed], left[items]))
-            if ends[-1] < window and count < open_items:
-                done = k
-                break
-            items = np.append(seed, items)[: int(np.searchsorted(ends, window)) + 1]
-            sizes = left[items]
-            sizes[-1] -= max(0, int(sizes.sum()) - window)
-            seq = list(zip(items.tolist(), start[items].tolist(), sizes.tolist(), strict=True))
-            start[items] += sizes
-            left[items] -= sizes
-            yield from [seq] if ends[-1] >= window else _powers(seq)
-        at = int(seeds[done]) if done < len(seeds) else int(seeds[-1]) + 1
-        if not done:
-            count *= 4
-        block = max(1, min(SEEDS, 2 * max(done, 32), ENTRIES // count))
-
-
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    Shards of the index hold at most ``shard_docs`` documents; the result doesn't depend on it.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+@dataclass(frozen=True)
+class Router:
+    """Where a document lies in the order that shards are cut from: its centroid and its minimum hashes."""
+
+    known: Statistics
+    centroids: np.ndarray
+
+    def __post_init__(self):
+        ids = np.arange(len(self.known.idf), dtype=np.uint64)
+        object.__setattr__(self, "cells", (_mixed(ids) % np.uint64(CELLS)).astype(np.int64))
+        races = [-np.log((_mixed(ids * np.uint64(HASHES) + np.uint64(k + 1)) >> np.uint64(11)) / 2.0**53 + 2.0**-54) for k in range(HASHES)]
+        object.__setattr__(self, "races", np.stack(races))
+
+    def vector(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.bincount(self.cells[term], weight, CELLS)
+        return out / max(np.linalg.norm(out), 1e-12)
+
+    def route(self, term: np.ndarray, tf: np.ndarray, length: int) -> list[int]:
+        kept = self.known.idf[term] > 0
+        term = term[kept]
+        if not len(term):
+            return [-1] * (HASHES + 1)
+        weight = self.known.weights(term, tf[kept], length)
+        near = self.centroids[:, self.cells[term]] @ weight
+        return [int(near.argmax()), *term[(self.races[:, term] / weight).argmin(1)].tolist()]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def fitted(known: Statistics, docs: list[tuple[np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> Router:
+    """Spherical k-means over the hashed terms of (terms, counts, length) documents; the same documents give the same centroids."""
+    blank = Router(known, np.zeros((1, CELLS), np.float32))
+    points = np.array([blank.vector(t, known.weights(t, c, n)) for t, c, n in docs], np.float32).reshape(-1, CELLS)
+    points = points[np.abs(points).sum(1) > 0]
+    if not len(points):
+        return blank
+    chosen = [0]
+    while len(chosen) < min(centroids, len(points)):  # the point that is farthest from those chosen
+        chosen.append(int((points @ points[chosen].T).max(1).argmin()))
+    center = points[chosen]
+    for _ in range(ROUNDS):
+        own = (points @ center.T).argmax(1)
+        sums = np.stack([points[own == k].sum(0) if (own == k).any() else center[k] for k in range(len(center))])
+        center = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    # like ones next to each other, as shards may go on from one to the next
+    like, chain = center @ center.T, [0]
+    while len(chain) < len(center):
+        rest = [k for k in range(len(center)) if k not in chain]
+        chain.append(max(rest, key=lambda k: like[chain[-1], k]))
+    return Router(known, center[chain].astype(np.float32))
+
+
+def pack_shard(docs: list[tuple], sequence: int, known: Statistics, window: int = WINDOW) -> tuple[list[tuple], int]:
+    """Pieces of one shard from (key, tokens, full, rest, wide, terms, counts) rows, and the next free sequence number."""
+    pieces = []
+    items, rests, terms, counts = [], [], [], []
+    for key, tokens, full, rest, wide, term, count in docs:
+        for k, crc in enumerate(np.frombuffer(full, "<u4").tolist()):
+            pieces.append((key, k * window, window, crc, tokens, sequence, 0))
+            sequence += 1
+        if rest:
+            items.append((key, tokens))
+            rests.append(np.frombuffer(rest, "<u4" if wide else "<u2").astype("<u4"))
+            t, c = terms_of(term, count, wide)
+            terms.append(t)
+            counts.append(c)
+    if not items:
+        return pieces, sequence
+    index = Index(terms, counts, np.array([n for _, n in items], np.float64), known)
+    for seq in fill_windows(np.array([len(r) for r in rests]), index.scores, window, index.forget):
+        offset = 0
+        for j, at, size in seq:
+            key, tokens = items[j]
+            pieces.append((key, tokens - len(rests[j]) + at, size, zlib.crc32(rests[j][at : at + size].tobytes()), tokens, sequence, offset))
+            offset += size
+        sequence += 1
+    return pieces, sequence
+
+
+def encoded(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key, and of each whole text: length, digests of full windows, the ids that are left, terms and counts."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("tokens bigint, full binary, rest binary, wide boolean, terms binary, counts binary")
     def summary(column: pa.Array) -> pa.Array:
         own = encoder(tokenizer)
         return pa.array([_summary(own.encode(x or ""), window) for x in column.to_pylist()], SUMMARY)
 
-    size = (F.length("rest") / F.when(F.col("wide"), 4).otherwise(2)).cast("long")
-    rows = written(docs.select(F.col(key).cast("long").alias("key"), summary(F.col(text)).alias("s")).select("key", "s.*").withColumn("size", size), "encoded")
-    ordered = rows.orderBy(F.desc("size"), "key", "tokens", "full", "rest", "terms", "counts").withColumn("at", F.monotonically_increasing_id())
-    ordered = written(ordered, "ordered")
-    parts = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    begins = dict(zip([r.part for r in parts], np.cumsum([0, *(r.n for r in parts)]).tolist(), strict=False))
-    begin = F.create_map(*(F.lit(x) for pair in begins.items() for x in pair)) if begins else F.create_map(F.lit(0), F.lit(0))
-    ordered = ordered.withColumn("id", begin[F.shiftright("at", 33)] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ordered.where("size > 0").select("id", F.col("size").cast("int")).toArrow()
-    lengths = np.zeros(sizes.num_rows, np.int64)
-    lengths[sizes["id"].to_numpy()] = sizes["size"].to_numpy()
-    kinds = "id bigint, at bigint, length bigint, sequence_id bigint, offset bigint"
-    planned = [written(spark.createDataFrame(t, kinds), "pieces") for t in _planned(ordered.where("size > 0"), lengths, window, shard_docs)]
-
-    def whole(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                crc = np.frombuffer(row["full"], "<u4").astype(np.int64)
-                k, n = np.arange(len(crc)), len(crc)
-                same = [np.full(n, x) for x in (window, row["tokens"], 0)]
-                columns = [pa.array([row["key"]] * n, pa.int64()), k * window, same[0], crc, same[1], (row["id"] + 1 << 32) + k, same[2]]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[f.name for f in OUT])
-
-    @F.arrow_udf("bigint")
-    def digest(rest: pa.Array, wide: pa.Array, at: pa.Array, size: pa.Array) -> pa.Array:
-        cut = [np.frombuffer(r, "<u4" if w else "<u2").astype("<u4")[a : a + n] for r, w, a, n in zip(rest.to_pylist(), wide.to_pylist(), at.to_pylist(), size.to_pylist(), strict=True)]
-        return pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64())
-
-    out = ordered.where("length(full) > 0").select("id", "key", "tokens", "full").mapInArrow(whole, "key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    if planned:
-        pieces = reduce(DataFrame.unionAll, planned).join(ordered.select("id", "key", "tokens", "size", "rest", "wide"), "id")
-        cut = pieces.select(
-            "key", (F.col("tokens") - F.col("size") + F.col("at")).alias("start"), "length", digest("rest", "wide", "at", "length").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset"
-        )
-        out = out.unionAll(cut)
-    return out.withColumnRenamed("key", key)
-
-
-OUT = pa.schema([(c, pa.int64()) for c in ("key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-SHARD = "shard bigint, ids binary, lengths binary, terms binary, sizes binary, docs binary, counts binary"
+    return docs.select(F.col(f"`{key}`").alias("key"), summary(F.col(f"`{text}`").cast("string")).alias("s")).select("key", "s.*")
 
 
-def _terms(column, wide) -> list[np.ndarray]:
-    return [np.frombuffer(t, "<u4" if w else "<u2").astype("<u4") for t, w in zip(column.to_pylist(), wide.to_pylist(), strict=True)]
-
-
-def _planned(items: DataFrame, lengths: np.ndarray, window: int, shard_docs: int):
-    """Tables of pieces of the items' rests: id, at, length, sequence_id, offset."""
-    if not len(lengths):
-        return
-    n_shards = -(-len(lengths) // shard_docs)
-
-    def sharded(keys, group):
-        group = group.sort_by("id")
-        terms = _terms(group.column("terms"), group.column("wide"))
-        term, doc = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        order = np.argsort(term, kind="stable")
-        named, sizes = np.unique(term, return_counts=True)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8)
-        columns = [group.column("id").to_numpy().astype("<i8"), group.column("tokens").to_numpy().astype("<i8"), named.astype("<u4"), sizes.astype("<u4"), doc[order].astype("<u4"), counts[order]]
-        return pa.table([pa.array([keys[0].as_py()], pa.int64()), *([c.tobytes()] for c in columns)], names=["shard", "ids", "lengths", "terms", "sizes", "docs", "counts"])
+def table_statistics(rows: DataFrame) -> Statistics:
+    """Of all encoded rows; what comes to the driver is bounded by the vocabulary."""
 
     def frequencies(batches):
-        total: dict[int, int] = {}
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for t, n in zip(batch.column("terms").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                for a, b in zip(np.frombuffer(t, "<u4").tolist(), np.frombuffer(n, "<u4").tolist(), strict=True):
-                    total[a] = total.get(a, 0) + b
-        yield pa.record_batch({"term": pa.array(total.keys(), pa.int64()), "df": pa.array(total.values(), pa.int64())})
-
-    shard = F.pmod("id", F.lit(n_shards))
-    index = items.select(shard.alias("shard"), "id", "tokens", "terms", "wide", "counts").repartition(min(n_shards, 4096), "shard")
-    index = written(index.groupBy("shard").applyInArrow(sharded, SHARD), "index")
-    found = index.mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    mean = float(items.agg(F.avg("tokens")).first()[0])
-    df = np.zeros(int(found["term"].to_numpy().max()) + 1, np.int64)
+            for t, w in zip(batch.column("terms").to_pylist(), batch.column("wide").to_pylist(), strict=True):
+                term = np.frombuffer(t, "<u4" if w else "<u2")
+                if len(term) and int(term[-1]) >= len(total):
+                    total = np.concatenate([total, np.zeros(int(term[-1]) + 1, np.int64)])
+                total[term] += 1  # a document's terms are distinct
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"term": pa.array(at, pa.int64()), "df": pa.array(total[at], pa.int64())})
+
+    found = rows.select("terms", "wide").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    n, mean = rows.agg(F.count("*"), F.avg("tokens")).first()
+    df = np.zeros(int(found["term"].to_numpy().max(initial=0)) + 1, np.int64)
     df[found["term"].to_numpy()] = found["df"].to_numpy()
-    idf = idf_of(df, len(lengths))
-    common = np.full(len(df), -1)
-    often = np.flatnonzero((df * 16 > len(lengths)) & (idf > 0))
-    common[often] = np.arange(len(often))
-    held: dict[int, np.ndarray] = {}
-
-    def near(seeds: np.ndarray, count: int, left: np.ndarray) -> list[np.ndarray]:
-        if int(seeds[-1]) not in held or int(seeds[0]) not in held:
-            held.clear()
-            told = items.where(F.col("id").between(int(seeds[0]), max(int(seeds[-1]), int(seeds[0]) + 8 * SEEDS))).select("id", "terms", "wide").toArrow()
-            held.update(zip(told["id"].to_pylist(), _terms(told["terms"], told["wide"]), strict=True))
-        asked = [t[idf[t] > 0] for t in (held[s] for s in seeds.tolist())]
-        return near_seeds(index, asked, count, np.packbits(left > 0, bitorder="little"), idf, common, mean)
-
-    columns: list[list[int]] = [[], [], [], [], []]
-    for number, seq in enumerate(packed_rests(lengths, near, window)):
-        offset = 0
-        for i, at, size in seq:
-            for column, x in zip(columns, (i, at, size, number, offset), strict=True):
-                column.append(x)
-            offset += size
-        if len(columns[0]) >= PIECES:
-            yield pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "at", "length", "sequence_id", "offset"])
-            columns = [[], [], [], [], []]
-    if columns[0]:
-        yield pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "at", "length", "sequence_id", "offset"])
+    return Statistics(idf_of(df, n), float(mean or 1))
+
+
+def table_router(rows: DataFrame, known: Statistics, sample: int = SAMPLE) -> Router:
+    """Fitted on the ``sample`` documents whose hashes are the smallest."""
+    name = F.xxhash64("key", "tokens", "terms", "counts")
+    some = rows.select(name.alias("h"), "terms", "counts", "wide", "tokens").orderBy("h", "tokens").limit(sample).collect()
+    return fitted(known, [(*terms_of(r.terms, r.counts, r.wide), r.tokens) for r in some])
+
+
+def routes(rows: DataFrame, router: Router) -> DataFrame:
+    """``rows`` with ``route``: centroid and minimum hashes."""
+    shared = rows.sparkSession.sparkContext.broadcast((router.known.idf, router.known.mean, router.centroids))
+    held: list[Router] = []
+
+    @F.arrow_udf("array<int>")
+    def route(terms: pa.Array, counts: pa.Array, wide: pa.Array, tokens: pa.Array) -> pa.Array:
+        if not held:
+            idf, mean, centroids = shared.value
+            held.append(Router(Statistics(idf, mean), centroids))
+        columns = zip(terms.to_pylist(), counts.to_pylist(), wide.to_pylist(), tokens.to_pylist(), strict=True)
+        return pa.array([held[0].route(*terms_of(t, c, w), n) for t, c, w, n in columns], pa.list_(pa.int32()))
+
+    return rows.withColumn("route", route("terms", "counts", "wide", "tokens"))
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS, shard_bytes: int = SHARD_BYTES, sample: int = SAMPLE
+) -> DataFrame:
+    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    rows = written(encoded(docs, tokenizer, key, text, window), "encoded")
+    known = table_statistics(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((known.idf, known.mean))
+    routed = routes(rows, table_router(rows, known, sample))
+    order = [*(F.col("route")[k].alias(f"r{k}") for k in range(HASHES + 1)), F.xxhash64("key", "tokens", "terms", "counts").alias("h")]
+    places = [*(f"r{k}" for k in range(HASHES + 1)), "h"]
+    tasks = min(TASKS, max(1, -(-rows.count() // (TASK_SHARDS * shard_docs))))
+    placed = routed.select("*", *order).drop("route").repartitionByRange(tasks, *places).sortWithinPartitions(*places, "key", "tokens", "full", "rest")
+    kind = rows.schema["key"].dataType.simpleString()
+    fields = ["key", "tokens", "full", "rest", "wide", "terms", "counts"]
+
+    def run(batches):
+        sequence, own = TaskContext.get().partitionId() << 40, Statistics(*shared.value)
+        shard, size, key_type = [], 0, None
+
+        def told():
+            nonlocal sequence
+            pieces, sequence = pack_shard(shard, sequence, own, window)
+            for at in range(0, len(pieces), 50_000):
+                columns = zip(*pieces[at : at + 50_000], strict=True)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [key_type, *[pa.int64()] * 6], strict=True)], names=OUT)
+
+        for batch in batches:
+            key_type = batch.schema.field("key").type
+            for row in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                shard.append(row)
+                size += len(row[2]) + len(row[3]) + len(row[5]) + len(row[6])
+                if len(shard) >= shard_docs or size >= shard_bytes:
+                    yield from told()
+                    shard, size = [], 0
+        if shard:
+            yield from told()
+
+    out = placed.select(*fields).mapInArrow(run, f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return out.withColumnRenamed("key", key)
+
+
+OUT = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
