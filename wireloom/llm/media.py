@@ -1,13 +1,20 @@
 """Media columns: ISO base media containers.
 
-``probe`` walks the nested boxes of a container, decodes the sample tables and
-returns codec, duration, dimensions and the byte ranges of the key frames; it
-never decodes a sample.  ``store`` writes a payload losslessly as a track of
+``probe`` walks the nested boxes of a container, decodes the sample tables (also
+compact sizes and movie fragments) and returns codec, duration, dimensions and
+the byte ranges of the key frames; it never decodes a sample.  Of several tracks
+the first video track that has samples is told of, else the first that has
+samples, else the first.  ``store`` writes a payload losslessly as a track of
 uncompressed 8-bit grey frames of 8 x 8 pixels, so that a frame is 64 bytes.
 
+Tables are never unrolled beyond what the file can hold: counts that a corrupt
+or hostile table only claims cost nothing.
+
 Defined results: ``probe`` gives null for null; bytes that aren't a container,
 or one whose tables are cut short, give a row with what could be read, 0
-samples and no key frames.  A null or empty text is stored as one zero frame.
+samples and no key frames.  Samples that don't lie inside the file are counted in
+``n_missing`` and have no ranges; such a payload can't be read back and is null.
+A null or empty text is stored as one zero frame.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,9 @@ INFO = pa.struct(
         ("height", pa.int32()),
         ("duration_s", pa.float64()),
         ("n_samples", pa.int64()),
+        ("n_missing", pa.int64()),
+        ("handler", pa.string()),
+        ("n_tracks", pa.int32()),
         ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
     ]
 )
@@ -120,22 +131,34 @@ def boxes(data: memoryview, start: int, end: int):
         start = stop
 
 
-def _tracks(data: memoryview) -> list[dict]:
-    """For each track the places of the boxes under it, the media header and the handler."""
-    found: list[dict] = []
-    stack = [(0, len(data), None)]
-    while stack:
-        start, end, track = stack.pop()
+def _walk(data: memoryview) -> tuple[list[dict], list[dict], dict[int, tuple[int, int]]]:
+    """Tracks (places of the boxes under each), track fragments in order (with the ``moof``'s start and their runs), and the defaults by track."""
+    tracks: list[dict] = []
+    fragments: list[dict] = []
+    defaults: dict[int, tuple[int, int]] = {}
+    todo = deque([(0, len(data), 0, None)])
+    while todo:
+        start, end, moof, owner = todo.popleft()
         for kind, body, stop in boxes(data, start, end):
-            own = track
+            own, at = owner, moof
             if kind == b"trak":
                 own = {}
-                found.append(own)
+                tracks.append(own)
+            elif kind == b"moof":
+                at = start if start < body else 0
+            elif kind == b"traf":
+                own = {"moof": moof, "runs": []}
+                fragments.append(own)
             if kind in NESTED:
-                stack.append((body, stop, own))
+                todo.append((body, stop, at, own))
+            elif kind == b"trex" and stop - body >= 24:
+                defaults[struct.unpack_from(">I", data, body + 4)[0]] = (body, stop)
+            elif kind == b"trun" and own is not None and "runs" in own:
+                own["runs"].append((body, stop))
             elif own is not None:
-                own[kind] = (body, stop)
-    return found
+                own.setdefault(kind, (body, stop))
+            start = stop
+    return tracks, fragments, defaults
 
 
 def _table(data: memoryview, at: tuple[int, int] | None, columns: int, kind: str = ">u4", skip: int = 8) -> np.ndarray:
@@ -147,72 +170,177 @@ def _table(data: memoryview, at: tuple[int, int] | None, columns: int, kind: str
     return np.frombuffer(data, kind, n * columns, at[0] + skip).astype(np.int64).reshape(n, columns)
 
 
+def _sizes(data: memoryview, track: dict) -> tuple[int, np.ndarray | int]:
+    """Number of samples and their sizes (one number where all are the same), as far as the table is there."""
+    if (at := track.get(b"stsz")) and at[1] - at[0] >= 12:
+        same, n = struct.unpack_from(">II", data, at[0] + 4)
+        if same:
+            return n, same
+        sizes = _table(data, at, 1, skip=12)[:, 0]
+        return len(sizes), sizes
+    if (at := track.get(b"stz2")) and at[1] - at[0] >= 12:
+        bits, n = data[at[0] + 7], struct.unpack_from(">I", data, at[0] + 8)[0]
+        if bits == 4:
+            raw = np.frombuffer(data[at[0] + 12 : at[1]], np.uint8)
+            sizes = np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
+        elif bits in (8, 16):
+            sizes = _table(data, at, 1, f">u{bits // 8}", skip=12)[:, 0]
+        else:
+            sizes = np.zeros(0, np.int64)
+        return len(sizes), sizes
+    return 0, np.zeros(0, np.int64)
+
+
 def sample_places(data: memoryview, track: dict) -> tuple[np.ndarray, np.ndarray]:
     """Byte offset and size of each sample, from the sample-to-chunk, size and chunk-offset tables."""
     none = np.zeros(0, np.int64)
-    if b"stsz" not in track or track[b"stsz"][1] - track[b"stsz"][0] < 12:
-        return none, none
-    same, n = struct.unpack_from(">II", data, track[b"stsz"][0] + 4)
+    n, sizes = _sizes(data, track)
     chunks = _table(data, track.get(b"co64"), 1, ">u8") if b"co64" in track else _table(data, track.get(b"stco"), 1)
     runs = _table(data, track.get(b"stsc"), 3)
     if not n or not len(chunks) or not len(runs):
         return none, none
-    first = np.append(runs[:, 0] - 1, len(chunks)).clip(0, len(chunks))
-    each = np.repeat(runs[:, 1], np.diff(first).clip(0))[: len(chunks)]
-    n = min(n, int(each.sum()))
-    if same:
-        n = min(n, len(data) // same)
-        sizes = np.full(n, same, np.int64)
-    else:
-        sizes = _table(data, track[b"stsz"], 1, skip=12)[:n, 0]
-        n = len(sizes)
-    chunk = np.repeat(np.arange(len(each)), each)[:n]
+    n = min(n, len(data))  # a sample of one byte at least
+    first = np.maximum.accumulate(np.append(runs[:, 0] - 1, len(chunks)).clip(0, len(chunks)))
+    each = np.zeros(len(chunks), np.int64)  # chunks before the first run hold nothing
+    each[first[0] :] = np.repeat(np.minimum(runs[:, 1], n), np.diff(first))
+    ends = np.cumsum(each)
+    n = min(n, int(ends[-1]))
+    sizes = np.full(n, sizes, np.int64) if isinstance(sizes, int) else sizes[:n]
+    chunk = np.searchsorted(ends, np.arange(n), "right")  # a chunk holds the samples up to its end
     before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    starts = np.concatenate([[0], np.cumsum(each)])[:-1].clip(0, max(n - 1, 0))
-    return chunks[chunk, 0] + before - before[starts[chunk]], sizes
+    starts = np.concatenate([[0], ends])[chunk]
+    return chunks[chunk, 0] + before - before[starts], sizes
 
 
-def probe(data: bytes) -> dict:
-    """Codec, size, duration and key-frame byte ranges of the first track that has samples."""
+def fragment_samples(data: memoryview, fragment: dict, defaults: dict, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes, durations and key marks of one track fragment's samples; ``at``: where data go on without a base of its own."""
+    none = np.zeros(0, np.int64)
+    head = fragment.get(b"tfhd")
+    if not head or head[1] - head[0] < 8:
+        return none, none, none, none.astype(bool), at
+    flags, track = struct.unpack_from(">II", data, head[0])
+    flags &= 0xFFFFFF
+    known = [1, 0, 0, 0]  # description, duration, size, flags
+    if found := defaults.get(track):
+        known = list(struct.unpack_from(">4I", data, found[0] + 8))
+    place, base = head[0] + 8, fragment["moof"] if flags & 0x20000 or at < 0 else at
+    for bit, width, slot in ((1, 8, None), (2, 4, 0), (8, 4, 1), (16, 4, 2), (32, 4, 3)):
+        if flags & bit and place + width <= head[1]:
+            value = struct.unpack_from(">Q" if width == 8 else ">I", data, place)[0]
+            place += width
+            if slot is None:
+                base = min(value, 1 << 62)
+            else:
+                known[slot] = value
+    out, go_on = [], base
+    for start, stop in fragment["runs"]:
+        if stop - start < 8:
+            continue
+        marks, n = struct.unpack_from(">II", data, start)
+        marks &= 0xFFFFFF
+        place, first_flags = start + 8, None
+        if marks & 1 and place + 4 <= stop:
+            go_on = base + struct.unpack_from(">i", data, place)[0]
+            place += 4
+        if marks & 4 and place + 4 <= stop:
+            first_flags = struct.unpack_from(">I", data, place)[0]
+            place += 4
+        columns = [b for b in (0x100, 0x200, 0x400, 0x800) if marks & b]
+        n = min(n, (stop - place) // (4 * len(columns)) if columns else len(data) // max(known[2], 1))
+        table = np.frombuffer(data, ">u4", n * len(columns), place).astype(np.int64).reshape(n, len(columns)) if n and columns else np.zeros((n, 0), np.int64)
+        take = lambda bit, slot: table[:, columns.index(bit)] if bit in columns else np.full(n, known[slot], np.int64)  # noqa: B023, E731
+        sizes, marked = take(0x200, 2), take(0x400, 3).copy()
+        if first_flags is not None and n:
+            marked[0] = first_flags
+        out.append((go_on + np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes, take(0x100, 1), marked & 0x10000 == 0))
+        go_on += int(sizes.sum())
+    if not out:
+        return none, none, none, none.astype(bool), go_on
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), go_on
+
+
+def _number(data: memoryview, track: dict) -> int | None:
+    if not (at := track.get(b"tkhd")) or at[1] - at[0] < 24:
+        return None
+    return struct.unpack_from(">I", data, at[0] + (20 if data[at[0]] == 1 else 12))[0]
+
+
+def read_tracks(data: bytes) -> list[dict]:
+    """Of each track: what :func:`probe` tells, and offsets and sizes of its samples."""
     view = memoryview(data)
-    best = {"codec": None, "width": None, "height": None, "duration_s": None, "n_samples": 0, "keyframes": []}
-    for track in _tracks(view):
-        offsets, sizes = sample_places(view, track)
-        info = dict(best)
+    tracks, fragments, defaults = _walk(view)
+    out = []
+    for track in tracks:
+        info = {"codec": None, "width": None, "height": None, "duration_s": None, "handler": None}
+        if (at := track.get(b"hdlr")) and at[1] - at[0] >= 12:
+            info["handler"] = bytes(view[at[0] + 8 : at[0] + 12]).decode("latin-1")
         if (at := track.get(b"stsd")) and at[1] - at[0] >= 16:
             info["codec"] = bytes(view[at[0] + 12 : at[0] + 16]).decode("latin-1")
-            if at[1] - at[0] >= 44:
+            if at[1] - at[0] >= 44 and info["handler"] in (None, "vide"):
                 info["width"], info["height"] = struct.unpack_from(">HH", view, at[0] + 40)
+        offsets, sizes = sample_places(view, track)
+        keys = np.zeros(len(sizes), bool)
+        if b"stss" in track:
+            marked = _table(view, track[b"stss"], 1)[:, 0] - 1
+            keys[marked[(marked >= 0) & (marked < len(sizes))]] = True
+        else:
+            keys[:] = True
         ticks = _table(view, track.get(b"stts"), 2)
+        lasting = float((ticks[:, 0].astype(float) * ticks[:, 1]).sum())
+        number, go_on = _number(view, track), {}
+        for f in fragments:
+            head = f.get(b"tfhd")
+            if number is None or not head or head[1] - head[0] < 8 or struct.unpack_from(">I", view, head[0] + 4)[0] != number:
+                continue
+            o, s, d, k, go_on[f["moof"]] = fragment_samples(view, f, defaults, go_on.get(f["moof"], -1))
+            offsets, sizes, keys, lasting = np.concatenate([offsets, o]), np.concatenate([sizes, s]), np.concatenate([keys, k]), lasting + float(d.sum())
         if (at := track.get(b"mdhd")) and at[1] - at[0] >= 24:
             scale = struct.unpack_from(">I", view, at[0] + (20 if view[at[0]] == 1 else 12))[0]
-            info["duration_s"] = float((ticks[:, 0] * ticks[:, 1]).sum() / scale) if scale else None
-        keys = _table(view, track[b"stss"], 1)[:, 0] - 1 if b"stss" in track else np.arange(len(sizes))
-        keys = keys[(keys >= 0) & (keys < len(sizes))]
-        info["n_samples"] = len(sizes)
-        info["keyframes"] = [{"start": int(a), "length": int(b)} for a, b in zip(offsets[keys], sizes[keys], strict=True)]
-        if info["codec"] is not None and (best["codec"] is None or (len(sizes) and not best["n_samples"])):
-            best = info
-    return best
-
-
-def read_payload(data: bytes) -> bytes:
-    """The bytes of all samples of the first track, in order; runs of samples that lie together are copied at once."""
-    view = memoryview(data)
-    for track in _tracks(view):
-        offsets, sizes = sample_places(view, track)
-        if len(sizes):
-            cut = np.flatnonzero(np.concatenate([[True], offsets[1:] != offsets[:-1] + sizes[:-1]]))
-            ends = np.append(cut[1:], len(sizes)) - 1
-            return b"".join(view[a : b + c] for a, b, c in zip(offsets[cut], offsets[ends], sizes[ends], strict=True))
-    return b""
+            info["duration_s"] = lasting / scale if scale else None
+        there = (offsets >= 0) & (offsets <= len(data) - sizes)
+        out.append(info | {"offsets": offsets, "sizes": sizes, "keys": keys, "there": there})
+    return out
+
+
+def _chosen(tracks: list[dict]) -> dict | None:
+    order = lambda t: (not len(t["sizes"]), t["handler"] != "vide")
+    return min(tracks, key=order) if tracks else None
+
+
+def probe(data: bytes) -> dict:
+    """Codec, size, duration and key-frame byte ranges of the chosen track."""
+    tracks = read_tracks(data)
+    nothing = {"codec": None, "width": None, "height": None, "duration_s": None, "handler": None, "n_samples": 0, "n_missing": 0, "keyframes": []}
+    if (best := _chosen(tracks)) is None:
+        return nothing | {"n_tracks": 0}
+    at = np.flatnonzero(best["keys"] & best["there"])
+    ranges = zip(best["offsets"][at].tolist(), best["sizes"][at].tolist(), strict=True)
+    return {k: best[k] for k in ("codec", "width", "height", "duration_s", "handler")} | {
+        "n_samples": int(best["there"].sum()),
+        "n_missing": int((~best["there"]).sum()),
+        "n_tracks": len(tracks),
+        "keyframes": [{"start": a, "length": b} for a, b in ranges],
+    }
+
+
+def read_payload(data: bytes) -> bytes | None:
+    """The bytes of all samples of the chosen track, in order, or null if some aren't in the file; runs that lie together are copied at once."""
+    best = _chosen(read_tracks(data))
+    if best is None or not len(best["sizes"]):
+        return b""
+    if not best["there"].all():
+        return None
+    view, offsets, sizes = memoryview(data), best["offsets"], best["sizes"]
+    cut = np.flatnonzero(np.concatenate([[True], offsets[1:] != offsets[:-1] + sizes[:-1]]))
+    ends = np.append(cut[1:], len(sizes)) - 1
+    return b"".join(view[a : b + c] for a, b, c in zip(offsets[cut].tolist(), offsets[ends].tolist(), sizes[ends].tolist(), strict=True))
 
 
 def media_columns(frame: DataFrame, media: str = "media") -> DataFrame:
     """``frame`` with a struct ``media_info`` of :data:`INFO` for its binary column ``media``."""
     small_batches(frame.sparkSession)
 
-    @F.arrow_udf("codec string, width int, height int, duration_s double, n_samples bigint, keyframes array<struct<start:bigint,length:bigint>>")
+    @F.arrow_udf("codec string, width int, height int, duration_s double, n_samples bigint, n_missing bigint, handler string, n_tracks int, keyframes array<struct<start:bigint,length:bigint>>")
     def info(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else probe(x) for x in column.to_pylist()], INFO)
 
@@ -237,8 +365,8 @@ def payload_facts(media: Column) -> Column:
     def facts(column: pa.Array) -> pa.Array:
         out = []
         for x in column.to_pylist():
-            p = read_payload(x)
-            out.append({"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-FRAME:])})
+            p = None if x is None else read_payload(x)
+            out.append(None if p is None else {"payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-FRAME:])})
         return pa.array(out, kind)
 
     return facts(media)
