@@ -10,7 +10,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests import oracle
@@ -62,7 +61,7 @@ def test_bm25_scores():
         for t in docs[q]:
             idf = max(0, math.log((40 - df[t] + 0.5) / (df[t] + 0.5))) if df[t] > 1 else 0
             tf = docs[d].get(t, 0)
-            out += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[d] / lengths.mean()))
+            out += round(256 * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[d] / lengths.mean())))
         return out
 
     for q in range(0, 40, 7):
@@ -172,7 +171,7 @@ def test_packing_shards_are_lexical(spark):
     rows = topical()
     frame = packing.encoded(spark.createDataFrame(rows, "doc_id bigint, text string"), JSON)
     known = packing.table_statistics(frame)
-    got = packing.routes(frame, packing.table_router(frame, known)).orderBy("key").collect()
+    got = packing.routes(packing._named(frame), packing.table_router(frame, known, 600)).orderBy("key").collect()
     docs = [packing.terms_of(r.terms, r.counts, r.wide) for r in got]
     lengths = np.array([r.tokens for r in got], float)
     index = packing.Index([t for t, _ in docs], [c for _, c in docs], lengths)
@@ -195,7 +194,7 @@ def test_packing_takes_the_best_neighbours(spark):
     rows = topical(120, 4)
     frame = packing.encoded(spark.createDataFrame(rows, "doc_id bigint, text string"), JSON)
     known = packing.table_statistics(frame)
-    routed = packing.routes(frame, packing.table_router(frame, known)).withColumn("h", F.xxhash64("key", "tokens", "terms", "counts")).collect()
+    routed = packing.routes(packing._named(frame), packing.table_router(frame, known, 120)).collect()
     docs = sorted(routed, key=lambda r: (r.route, r.h, r.key))
     own = [packing.terms_of(r.terms, r.counts, r.wide) for r in docs]
     left = {i: r.tokens for i, r in enumerate(docs)}
@@ -204,13 +203,13 @@ def test_packing_takes_the_best_neighbours(spark):
     def score(q, d):
         tf = dict(zip(own[d][0].tolist(), own[d][1].tolist(), strict=True))
         n = docs[d].tokens
-        return sum(known.idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * n / mean)) for t in own[q][0].tolist() if t in tf)
+        return sum(round(256 * known.idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * n / mean))) for t in own[q][0].tolist() if t in tf)
 
     want = []
     for seed in sorted(left, key=lambda i: (-left[i], i)):
         while left[seed]:
             space, seq = 1024, []
-            for i in [seed, *sorted((i for i in left if i != seed), key=lambda i: (-round(score(seed, i), 9), i))]:
+            for i in [seed, *sorted((i for i in left if i != seed), key=lambda i: (-score(seed, i), i))]:
                 take = min(space, left[i])
                 if take:
                     seq.append((docs[i].key, docs[i].tokens - left[i], take))

@@ -13,19 +13,19 @@ centroids, then by weighted minimum hashes of their terms (two documents agree i
 one as often as their weighted Jaccard similarity says), and the sorted rows are
 cut into shards; so copies and documents of one topic lie together, and a group
 of any size is cut, never gathered.  What this loses against one index over all
-documents is measured (README); :func:`routes` and :class:`Index` are what it is
-measured with.
+documents is measured (README); :func:`routes` and :class:`Index` are what it is measured with.
 
 Defined results: a null or empty text is a document of the one end token.
 Repeated rows are documents of their own.  Ties go by the sorted order (routes,
-then a hash of key and terms, then key, length, content).  Empty tables give no
-pieces.  The centroids are fitted on at most ``sample`` documents, chosen by hash.
+then a hash of key and terms, then the place in the encoded table).  Empty tables give no
+pieces.  The centroids are fitted on about ``sample`` documents, chosen by hash.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
@@ -45,10 +45,12 @@ WINDOW, END_ID = 1024, 0
 K1, B = 1.2, 0.75
 #: Documents and bytes of a shard; shards that a task gets, about, and tasks at most.
 SHARD_DOCS, SHARD_BYTES, TASK_SHARDS, TASKS = 2048, 16 << 20, 2, 1 << 15
-#: Documents that centroids are fitted on, at most; centroids, the cells that terms are hashed to, rounds.
+#: Documents that centroids are fitted on, about; centroids, the cells that terms are hashed to, rounds.
 SAMPLE, CENTROIDS, CELLS, ROUNDS = 4096, 32, 2048, 8
-#: Minimum hashes of a route.
-HASHES = 3
+#: Minimum hashes of a route; rows that a border between tasks is set by.
+HASHES, BORDER_ROWS = 3, 64
+#: Cells of a shard's table for each posting, at most.
+DENSE = 8
 
 
 class TextEncoder:
@@ -137,6 +139,10 @@ class Statistics:
     mean: float
 
     def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        """In units of 1/256: whole numbers, so that their sums (below 2^24) are exact in any order."""
+        return np.rint(256 * self.whole(term, tf, length))
+
+    def whole(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
 
@@ -159,31 +165,42 @@ class Index:
         term, doc, tf = term[kept], doc[kept], tf[kept]
         order = np.argsort(term, kind="stable")
         term, self.doc, tf = term[order], doc[order], tf[order]
-        self.terms, self.first, self.size = np.unique(term, return_index=True, return_counts=True)
-        self.weight = known.weights(term, tf, lengths[self.doc])
+        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        weight = known.weights(term, tf, lengths[self.doc])
+        # terms that many documents have go by a table, at most DENSE cells for a posting; the others by their postings
+        often = df * DENSE >= self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.table = np.zeros((int(often.sum()), self.n), np.float32)
+        row = np.repeat(self.row, df)
+        self.table[row[row >= 0], self.doc[row >= 0]] = weight[row >= 0]
+        self.doc, self.weight = self.doc[row < 0], weight[row < 0]
+        self.size = np.where(often, 0, df)
+        self.first = np.cumsum(self.size) - self.size
+        self.open = np.arange(self.n)
         own = [t[known.idf[t] > 0].astype(np.uint32) for t in terms]
         self.own = [np.searchsorted(self.terms, t) for t in own]
 
     def forget(self, gone: np.ndarray) -> None:
-        """Takes documents out of the postings, so that later queries don't go through what is used up."""
-        term = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.doc))))
+        """Takes documents out, so that later queries don't go through what is used up."""
+        term = np.repeat(np.arange(len(self.first)), self.size)
         kept = ~gone[self.doc]
         self.doc, self.weight = self.doc[kept], self.weight[kept]
-        left = np.bincount(term[kept], minlength=len(self.first))
-        self.first = np.cumsum(left) - left
-        self.size = left
+        self.size = np.bincount(term[kept], minlength=len(self.first))
+        self.first = np.cumsum(self.size) - self.size
+        there = ~gone[self.open]
+        self.table, self.open = self.table[:, there], self.open[there]
 
     def scores(self, seed: int) -> np.ndarray:
         """Scores of all documents for the terms of one."""
         at = self.own[seed]
         size = self.size[at]
-        at, size = at[size > 0], size[size > 0]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(self.n)
+        rare, size = at[size > 0], size[size > 0]
         ends = np.cumsum(size)
-        entry = np.repeat(self.first[at] - (ends - size), size) + np.arange(total)
-        return np.bincount(self.doc[entry], self.weight[entry], self.n)
+        entry = np.repeat(self.first[rare] - (ends - size), size) + np.arange(int(size.sum()))
+        out = np.bincount(self.doc[entry], self.weight[entry], self.n).astype(np.float64, copy=False)
+        row = self.row[at]
+        out[self.open] += self.table[row[row >= 0]].sum(0)
+        return out
 
 
 def fill_windows(lengths: np.ndarray, neighbours, window: int = WINDOW, forget=None) -> list[list[tuple[int, int, int]]]:
@@ -275,7 +292,7 @@ class Router:
         term = term[kept]
         if not len(term):
             return [-1] * (HASHES + 1)
-        weight = self.known.weights(term, tf[kept], length)
+        weight = self.known.whole(term, tf[kept], length)
         near = self.centroids[:, self.cells[term]] @ weight
         return [int(near.argmax()), *term[(self.races[:, term] / weight).argmin(1)].tolist()]
 
@@ -289,7 +306,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def fitted(known: Statistics, docs: list[tuple[np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> Router:
     """Spherical k-means over the hashed terms of (terms, counts, length) documents; the same documents give the same centroids."""
     blank = Router(known, np.zeros((1, CELLS), np.float32))
-    points = np.array([blank.vector(t, known.weights(t, c, n)) for t, c, n in docs], np.float32).reshape(-1, CELLS)
+    points = np.array([blank.vector(t, known.whole(t, c, n)) for t, c, n in docs], np.float32).reshape(-1, CELLS)
     points = points[np.abs(points).sum(1) > 0]
     if not len(points):
         return blank
@@ -369,27 +386,45 @@ def table_statistics(rows: DataFrame) -> Statistics:
     return Statistics(idf_of(df, n), float(mean or 1))
 
 
-def table_router(rows: DataFrame, known: Statistics, sample: int = SAMPLE) -> Router:
-    """Fitted on the ``sample`` documents whose hashes are the smallest."""
-    name = F.xxhash64("key", "tokens", "terms", "counts")
-    some = rows.select(name.alias("h"), "terms", "counts", "wide", "tokens").orderBy("h", "tokens").limit(sample).collect()
-    return fitted(known, [(*terms_of(r.terms, r.counts, r.wide), r.tokens) for r in some])
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``h``, a hash of the row, ``m``, which tells equal rows apart, and ``chance``, a number below 2^20 by both."""
+    named = rows.withColumns({"h": F.xxhash64("key", "tokens", "terms", "counts"), "m": F.monotonically_increasing_id()})
+    return named.withColumn("chance", F.pmod(F.xxhash64("h", "m"), F.lit(1 << 20)))
+
+
+def table_router(rows: DataFrame, known: Statistics, n: int, sample: int = SAMPLE) -> Router:
+    """Fitted on about ``sample`` of the ``n`` documents, chosen by hash; never on more than twice as many."""
+    some = _named(rows).where(F.col("chance") < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)) + 1))
+    found = some.select("h", "terms", "counts", "wide", "tokens").limit(2 * sample).collect()
+    return fitted(known, [(*terms_of(r.terms, r.counts, r.wide), r.tokens) for r in sorted(found, key=lambda r: (r.h, r.tokens))])
 
 
-def routes(rows: DataFrame, router: Router) -> DataFrame:
-    """``rows`` with ``route``: centroid and minimum hashes."""
-    shared = rows.sparkSession.sparkContext.broadcast((router.known.idf, router.known.mean, router.centroids))
-    held: list[Router] = []
+def routes(rows: DataFrame, router: Router, borders: list[tuple] | None = None) -> DataFrame:
+    """Rows of :func:`_named` with ``route`` (centroid and minimum hashes) and ``part`` (how many borders lie at or before their place)."""
+    borders = borders or []
+    shared = rows.sparkSession.sparkContext.broadcast((router.known.idf, router.known.mean, router.centroids, borders))
+    held: list = []
 
-    @F.arrow_udf("array<int>")
-    def route(terms: pa.Array, counts: pa.Array, wide: pa.Array, tokens: pa.Array) -> pa.Array:
+    @F.arrow_udf("route array<int>, part int")
+    def route(terms: pa.Array, counts: pa.Array, wide: pa.Array, tokens: pa.Array, h: pa.Array, m: pa.Array) -> pa.Array:
         if not held:
-            idf, mean, centroids = shared.value
-            held.append(Router(Statistics(idf, mean), centroids))
+            idf, mean, centroids, known = shared.value
+            held.extend([Router(Statistics(idf, mean), centroids), known])
         columns = zip(terms.to_pylist(), counts.to_pylist(), wide.to_pylist(), tokens.to_pylist(), strict=True)
-        return pa.array([held[0].route(*terms_of(t, c, w), n) for t, c, w, n in columns], pa.list_(pa.int32()))
+        found = [held[0].route(*terms_of(t, c, w), n) for t, c, w, n in columns]
+        parts = [bisect_right(held[1], (*r, x, y)) for r, x, y in zip(found, h.to_pylist(), m.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(parts, pa.int32())], ["route", "part"])
+
+    return rows.withColumn("_r", route("terms", "counts", "wide", "tokens", "h", "m")).select("*", "_r.route", "_r.part").drop("_r")
+
 
-    return rows.withColumn("route", route("terms", "counts", "wide", "tokens"))
+def task_borders(rows: DataFrame, router: Router, tasks: int, n: int) -> list[tuple]:
+    """Where the sorted rows are cut into tasks, by some :data:`BORDER_ROWS` rows a task, chosen by hash."""
+    if tasks < 2:
+        return []
+    some = _named(rows).where(F.col("chance") < F.lit(int(min(1.0, BORDER_ROWS * tasks / n) * (1 << 20)) + 1))
+    places = sorted((*r.route, r.h, r.m) for r in routes(some, router).select("route", "h", "m").collect())
+    return [places[len(places) * k // tasks] for k in range(1, tasks)] if len(places) >= tasks else places
 
 
 def pack(
@@ -399,11 +434,11 @@ def pack(
     rows = written(encoded(docs, tokenizer, key, text, window), "encoded")
     known = table_statistics(rows)
     shared = rows.sparkSession.sparkContext.broadcast((known.idf, known.mean))
-    routed = routes(rows, table_router(rows, known, sample))
-    order = [*(F.col("route")[k].alias(f"r{k}") for k in range(HASHES + 1)), F.xxhash64("key", "tokens", "terms", "counts").alias("h")]
-    places = [*(f"r{k}" for k in range(HASHES + 1)), "h"]
-    tasks = min(TASKS, max(1, -(-rows.count() // (TASK_SHARDS * shard_docs))))
-    placed = routed.select("*", *order).drop("route").repartitionByRange(tasks, *places).sortWithinPartitions(*places, "key", "tokens", "full", "rest")
+    n = rows.count()
+    router = table_router(rows, known, n, sample)
+    tasks = min(TASKS, max(1, -(-n // (TASK_SHARDS * shard_docs))))
+    borders = task_borders(rows, router, tasks, n)
+    placed = routes(_named(rows), router, borders).repartitionById(len(borders) + 1, "part").sortWithinPartitions("route", "h", "m")
     kind = rows.schema["key"].dataType.simpleString()
     fields = ["key", "tokens", "full", "rest", "wide", "terms", "counts"]
 
