@@ -4,6 +4,8 @@ import math
 import os
 import random
 import re
+import statistics
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tests import oracle
-from wireloom.llm import byte_bpe, jaccard_join, packing, queries, token_counts
+from wireloom.llm import byte_bpe, jaccard_join, packing, quality, queries, token_counts
 
 SF = "/root/testdata/sf0.01"
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -273,3 +275,77 @@ def test_quality_verdicts(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     assert oracle.compare(spark, name, queries.QUERIES[name], queries.ORACLES[name], SF) > 0
+
+
+def plain_quality(rows):
+    """doc_id -> (class distance, word distance, kept), from (doc_id, text, lang) rows, by the rules' definition."""
+    rules = quality.Rules()
+    word, classes = re.compile(r"[^\x20\x09-\x0D]+"), ["a-z", r"\x20\x09-\x0D", "A-Z", "#*$%&|<>", "0-9"]
+    top = defaultdict(Counter)
+    for _, text, lang in rows:
+        if lang:
+            top[lang].update(word.findall(text or ""))
+    vocabulary = {w for lang in top for w, _ in sorted(top[lang].items(), key=lambda x: (-x[1], x[0]))[: rules.common_words]}
+    either = vocabulary | {w[:1].upper() + w[1:] for w in vocabulary}
+    facts = {}
+    for i, text, lang in rows:
+        text, words = text or "", word.findall(text or "")
+        n = [len(re.findall(f"[{c}]", text)) for c in classes]
+        left = re.sub("[" + "".join(classes) + "]", "", text)
+        letters = sum(unicodedata.category(c)[0] == "L" for c in left)
+        n += [letters, len(left) - letters]
+        common = Counter(w.lower() for w in words if w in either)
+        grams = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        repeated = len({p for k in range(len(words) - 7) if grams[tuple(words[k : k + 8])] > 1 for p in range(k, k + 8)})
+        failed = len(words) < 20 or 100 * repeated > 30 * len(words)
+        facts[i] = (len(words), [x / sum(n) if sum(n) else 0 for x in n], {w: k / sum(common.values()) for w, k in common.items()}, failed, lang)
+    refs = {}
+    for lang in {f[4] for f in facts.values() if f[4]}:
+        own = [f for f in facts.values() if f[4] == lang and f[0] >= rules.word_judged_words and not f[3]]
+        if own:
+            median = [statistics.median(math.floor(f[1][k] * 10_000 + 0.5) for f in own) for k in range(7)]
+            share = Counter()
+            for f in own:
+                share.update({w: math.floor(x * 1_000_000 + 0.5) for w, x in f[2].items()})
+            refs[lang] = ([x / sum(median) for x in median], {w: x / sum(share.values()) for w, x in share.items()})
+
+    def distance(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x > 0)
+        return math.sqrt(max(0, (kl(p, q) + kl(q, p)) / 2))
+
+    out = {}
+    for i, (n, shares, common, failed, _) in facts.items():
+        if n < rules.judged_words:
+            out[i] = (None, None, not failed)
+            continue
+        near = []
+        for c, w in refs.values():
+            bins = sorted({*common, *w})
+            far = distance([common.get(b, 0) for b in bins], [w.get(b, 0) for b in bins]) if common else 1.0
+            near.append((far, distance(shares, c)))
+        word_far, class_far = min(near)
+        over = class_far > rules.class_distance[0] + rules.class_distance[1] / math.sqrt(n)
+        over |= n >= rules.word_judged_words and word_far > rules.word_distance[0] + rules.word_distance[1] / math.sqrt(n)
+        out[i] = (class_far, word_far, not failed and not over)
+    return out
+
+
+@needs_data
+def test_quality_distances_and_verdicts(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    want = plain_quality([tuple(r) for r in docs.collect()])
+    got = {r.doc_id: r for r in queries.op6_quality_rules(spark, small).collect()}
+    assert set(got) == set(want)
+    for i, (class_far, word_far, kept) in want.items():
+        r = got[i]
+        assert r.kept == kept and (r.class_distance is None) == (class_far is None)
+        assert class_far is None or (abs(r.class_distance - class_far) < 1e-6 and abs(r.word_distance - word_far) < 1e-6)
+    other = {r.doc_id: (r.class_distance, r.word_distance) for r in quality.judge(docs.repartition(7), columns=["doc_id"]).select("row.doc_id", "quality.*").collect()}
+    assert other == {i: (r.class_distance, r.word_distance) for i, r in got.items()}
+
+
+def test_limits_keep_the_good():
+    rows = [(100, 0.2, True), (400, 0.1, True), (100, 0.5, False), (25, 0.3, True), (25, 0.9, False)]
+    a, b = quality.fit_limits(rows, [0.0, 0.05, 0.1], [0.5, 1.0, 2.0], 1.2)
+    assert all(1.2 * d <= a + b / n**0.5 for n, d, good in rows if good) and all(d > a + b / n**0.5 for n, d, good in rows if not good)

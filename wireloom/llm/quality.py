@@ -4,7 +4,10 @@ Base rules count words, symbols, repeated lines and repeated 8-word windows.
 The method's own rule compares a document with language references: the
 Jensen-Shannon distance (base 2, square root) of its character-class histogram
 and of its common-word histogram to the nearest reference.  References come from
-all labelled documents long enough to be judged.
+all labelled documents that pass the base rules and are long enough to be judged;
+they are medians and sums of whole units, so neither the order nor the
+partitioning of the rows changes them.  How far a text may lie from its reference
+was fitted on labelled documents by :func:`fit_limits`.
 
 Defined results: null, empty or blank texts have no words and fail the base
 rules; texts under ``min_words`` are not judged by distance; with no labelled
@@ -40,11 +43,17 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     #: Texts with fewer words are not judged by their histograms.
-    judged_words: int = 40
+    judged_words: int = 20
+    #: Texts with fewer words are not judged by their common words.
+    word_judged_words: int = 40
     common_words: int = 16
     #: A distance may be the first figure, and the second over the root of the word count, for what chance does to short texts.
-    class_distance: tuple[float, float] = (0.05, 2.0)
-    word_distance: tuple[float, float] = (0.30, 4.0)
+    class_distance: tuple[float, float] = (0.02, 2.4)
+    word_distance: tuple[float, float] = (0.28, 4.2)
+
+
+#: Shares are counted in units: medians of so many steps, sums of so many.
+STEPS, UNITS = 10_000, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -165,25 +174,26 @@ def shares(counts: Column) -> Column:
 
 
 def references(counted: DataFrame, rules: Rules) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Histograms of each language over all its documents that are long enough.
+    """Histograms of each language over all its documents that are long enough and pass the base rules.
 
     Character classes by their medians, which junk can't move; common words by
     their mean shares.
     """
-    # one pass: class shares and word shares go up as one list of named parts
+    # one pass: class shares, in steps, and word shares, in units, go up as one list of named parts
     named = F.concat(
-        F.transform("class_shares", lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), x.alias("share"))),
-        F.transform("common", lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), x["share"].alias("share"))),
+        F.transform("class_shares", lambda x, i: F.struct(F.concat(F.lit("c "), i.cast("string")).alias("part"), F.round(x * STEPS).cast("long").alias("step"), F.lit(1).cast("long").alias("n"))),
+        F.transform("common", lambda x: F.struct(F.concat(F.lit("w "), x["word"]).alias("part"), F.lit(-1).cast("long").alias("step"), F.round(x["share"] * UNITS).cast("long").alias("n"))),
     )
-    judged = counted.where(F.col("lang").isNotNull() & (F.col("n_words") >= rules.judged_words))
-    value = F.when(F.col("part").startswith("c "), F.percentile_approx("share", F.lit(0.5), F.lit(1000))).otherwise(F.sum("share"))
-    found = judged.select("lang", F.explode(named).alias("p")).select("lang", "p.*").groupBy("lang", "part").agg(value.alias("value")).collect()
+    judged = counted.where(F.col("lang").isNotNull() & (F.col("n_words") >= rules.word_judged_words) & ~base_failed(rules))
+    counts = judged.select("lang", F.explode(named).alias("p")).select("lang", "p.*").groupBy("lang", "part", "step").agg(F.sum("n").alias("n"))
+    value = F.when(F.col("part").startswith("c "), F.percentile("step", F.lit(0.5), F.col("n"))).otherwise(F.sum("n").cast("double"))
+    found = counts.groupBy("lang", "part").agg(value.alias("value")).collect()
     n = len(CLASSES) + 1
     sums: dict[str, dict[str, float]] = {}
-    for r in found:
+    for r in sorted(found, key=lambda r: (r["lang"], r["part"])):
         sums.setdefault(r["lang"], {})[r["part"]] = r["value"]
     out = {}
-    for name, parts_of in sorted(sums.items()):
+    for name, parts_of in sums.items():
         c = [parts_of.get(f"c {i}", 0.0) for i in range(n)]
         w = {k[2:]: v for k, v in parts_of.items() if k[0] == "w"}
         if sum(c) > 0 and sum(w.values()) > 0:
@@ -215,7 +225,34 @@ def word_distance(common: Column, reference: dict[str, float]) -> Column:
             lambda q: F.struct((a["sum"] + _half(x["share"], q)).alias("sum"), (a["left"] - q).alias("left")),
         )
 
-    return F.aggregate(common, start, step, lambda a: F.sqrt(F.greatest((a["sum"] + F.greatest(a["left"], F.lit(0.0))) / 2, F.lit(0.0))))
+    found = F.aggregate(common, start, step, lambda a: F.sqrt(F.greatest((a["sum"] + F.greatest(a["left"], F.lit(0.0))) / 2, F.lit(0.0))))
+    return F.when(F.size(common) == 0, F.lit(1.0)).otherwise(found)  # no common word at all: as far as can be
+
+
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+
+
+def most(limit: tuple[float, float]) -> Column:
+    return F.lit(limit[0]) + F.lit(limit[1]) / F.sqrt("n_words")
+
+
+def fit_limits(rows: list[tuple[int, float, bool]], floors: list[float], slopes: list[float], spare: float = 1.1) -> tuple[float, float]:
+    """The limit (floor, slope) from (words, distance, good) rows that finds the most bad ones of those that ``spare`` times good distances keep to.
+
+    Ties: the limit that lies farthest from the good ones, on average.
+    """
+    best = None
+    for a in floors:
+        for b in slopes:
+            limit = [a + b / n**0.5 for n, _, _ in rows]
+            if all(spare * d <= x for (_, d, good), x in zip(rows, limit, strict=True) if good):
+                caught = sum(d > x for (_, d, good), x in zip(rows, limit, strict=True) if not good)
+                found = (caught, sum(limit), (a, b))
+                best = max(best, found) if best else found
+    if best is None:
+        raise ValueError("no limit keeps all good rows")
+    return best[2]
 
 
 def count(docs: DataFrame, text: str, lang: str, rules: Rules) -> DataFrame:
@@ -243,9 +280,6 @@ def judge(
     row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)))
     counted = count(docs.select(row.alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang")), "text", "lang", rules)
     known = references(counted, rules)
-    base_failed = (F.col("n_words") < rules.min_words) | (
-        100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
-    )
     nothing = F.lit(None).cast("struct<word_distance:double,class_distance:double,lang:string>")
     near = (
         F.array_min(
@@ -264,10 +298,10 @@ def judge(
         else nothing
     )
     judged = (
-        counted.withColumn("base_failed", base_failed).withColumn("near", F.when(F.col("n_words") >= rules.judged_words, near))
+        counted.withColumn("base_failed", base_failed(rules)).withColumn("near", F.when(F.col("n_words") >= rules.judged_words, near))
     )
-    most = lambda limit: F.lit(limit[0]) + F.lit(limit[1]) / F.sqrt("n_words")
-    far = (F.col("near.class_distance") > most(rules.class_distance)) | (F.col("near.word_distance") > most(rules.word_distance))
+    far_words = (F.col("n_words") >= rules.word_judged_words) & (F.col("near.word_distance") > most(rules.word_distance))
+    far = (F.col("near.class_distance") > most(rules.class_distance)) | far_words
     return judged.select(
         "row",
         F.struct(
