@@ -123,3 +123,35 @@ def snap_tolerances(stroke: Column, snap: Column, junction: Column) -> tuple[Col
 
 def template_score(ncc: Column, covered: Column, extra: Column, free_pins: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * ncc + 0.6 * covered - 0.6 * extra - 0.12 * free_pins))
+
+
+def segments_touch(a: Sequence[Column], b: Sequence[Column], tolerance: float = 5.0) -> Column:
+    """Whether an end of segment ``b`` (sx, sy, ex, ey) lies nearer than the tolerance to segment ``a``."""
+    near = [projection(b[k], b[k + 1], *a)[3] < tolerance for k in (0, 2)]
+    return near[0] | near[1]
+
+
+def moved_point(x: Column, y: Column, m: Sequence[float]) -> tuple[Column, Column]:
+    """A point after the affine map (m0 m1 m2 / m3 m4 m5), rounded."""
+    return F.rint(m[0] * x + m[1] * y + m[2]).cast("int"), F.rint(m[3] * x + m[4] * y + m[5]).cast("int")
+
+
+def moved_box(b: Box, m: Sequence[float]) -> list[Column]:
+    """The box around the moved corners of a box."""
+    corners = [moved_point(b[i], b[j], m) for i in (0, 2) for j in (1, 3)]
+    xs, ys = zip(*corners, strict=True)
+    return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+
+
+def fallback_pin(x_mm: Column, y_mm: Column, w_mm: Column, h_mm: Column, b: Box) -> tuple[Column, Column, Column]:
+    """Place of a symbol's pin and the symbol's rotation (0 or 90), by the box alone: upright boxes of lying symbols mean a quarter turn."""
+    w, h = b[2] - b[0], b[3] - b[1]
+    turn = (h > w) != (h_mm > w_mm)
+    fx, fy = x_mm / w_mm, y_mm / h_mm
+    x, y = F.when(turn, fy).otherwise(fx), F.when(turn, 1.0 - fx).otherwise(fy)
+    return F.rint(b[0] + x * w).cast("int"), F.rint(b[1] + y * h).cast("int"), F.when(turn, 90).otherwise(0)
+
+
+def scale_range(stroke: Column) -> tuple[Column, Column]:
+    """Least and greatest pixels per millimetre that a stroke of this width allows."""
+    return F.greatest(F.lit(1.5), stroke / 1.2), F.least(F.lit(40.0), F.greatest(F.lit(3.0), stroke / 0.15))

@@ -84,9 +84,10 @@ def first_json(text: Column) -> Column:
 
 
 def resolution(kind: Column, connected: Column, corrected: Column) -> Column:
-    """What is noted of a resolved issue."""
+    """What is noted of a resolved issue; ``rag``: it was resolved by retrieved examples."""
+    said = F.when(connected, "True").otherwise("False")
     return F.when(kind == "text", F.concat(F.lit("corrected_text="), corrected)).otherwise(
-        F.concat(F.lit("connected="), F.when(connected, "True").otherwise("False"))
+        F.concat(F.when(kind == "rag", "rag_connected=").otherwise("connected="), said)
     )
 
 
@@ -100,3 +101,49 @@ def ab_bucket(key: Column, buckets: int = 10_000) -> Column:
     """A stable number below ``buckets`` from the SHA-256 of a key, read as one big integer."""
     digits = F.split(F.sha2(key.cast("string"), 256), "(?<=.)(?=.)")
     return F.aggregate(digits, F.lit(0), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("int")) % buckets)
+
+
+#: Cyrillic letters in file names.
+SPELLING = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
+
+
+def ascii_stem(name: Column) -> Column:
+    """A file's stem in ASCII; ``sheet`` where nothing is left."""
+    table = SPELLING | {k.upper(): v.capitalize() for k, v in SPELLING.items()}
+    letters = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(letters[c], c)), "")
+    plain = F.btrim(F.regexp_replace(spelled, "[^0-9A-Za-z._ -]+", "_"), F.lit(" ._-"))
+    return F.when(plain == "", "sheet").otherwise(plain)
+
+
+def restored_point(text: Column, tall: Column, dots: Column) -> Column:
+    """A designator with the decimal point that reading lost: ``K11`` to ``K1.1``.
+
+    ``tall`` and ``dots``: centres of the tall glyphs and of the dots at the foot
+    line.  Only where there are as many tall glyphs as characters and one dot,
+    which stands after the first digit and before the last one.
+    """
+    name = normalize_designator(text)
+    letters = F.length(F.regexp_extract(name, r"^([A-Z]{1,3})\d{2,4}$", 1))
+    before = F.size(F.filter(tall, lambda x: x < dots[0]))
+    sure = (letters > 0) & (F.size(tall) == F.length(name)) & (F.size(dots) == 1) & (before > letters) & (before < F.length(name))
+    return F.when(sure, F.concat(F.substr(name, F.lit(1), before), F.lit("."), F.substr(name, before + 1))).otherwise(text)
+
+
+def keyword_score(query: Column, label: Column, description: Column) -> Column:
+    """How well an entry fits a word: in its label, in its description, or not; half where nothing is asked."""
+    word = F.lower(F.coalesce(query, F.lit("")))
+    return (
+        F.when(word == "", 0.5)
+        .when(F.contains(F.lower(label), word), 0.9)
+        .when(F.contains(F.lower(F.coalesce(description, F.lit(""))), word), 0.7)
+        .otherwise(0.1)
+    )
+
+
+def short_id(key: Column) -> Column:
+    """Twelve hexadecimal digits that name a row by its key, the same at every run."""
+    return F.substring(F.md5(key.cast("string").cast("binary")), 1, 12)

@@ -64,3 +64,35 @@ def vote(hits: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "
     counts = named.groupBy("query", "label").agg(F.count("*").alias("votes"), F.avg("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("votes"), "label")
     return counts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def store_stats(vectors: DataFrame, label: str = "label") -> DataFrame:
+    """Entries by label, and all (label null)."""
+    return vectors.rollup(label).agg(F.count("*").alias("n"))
+
+
+def with_entries(hits: DataFrame, entries: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:
+    """Hits beside their entries' labels; a hit whose entry is gone stays, labelled ``unknown``."""
+    named = entries.select(F.col(key).alias("neighbour"), F.col(label).cast("string").alias("label"))
+    return hits.join(named, "neighbour", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
+
+
+def connection_vote(hits: DataFrame, question: str) -> DataFrame:
+    """connected, confidence and votes of each query, from hits with labels.
+
+    Labels that name a connection or a junction vote for one.  Only a question
+    about junctions or dots is decided by them.
+    """
+    for_it = F.lower("label").contains("connected") | F.lower("label").contains("junction")
+    votes = hits.groupBy("query").agg(F.count_if(for_it).alias("votes"), F.count("*").alias("n"), F.avg("score").alias("score"))
+    asked = "junction" in question.lower() or "dot" in question.lower()
+    sure = F.least(F.lit(0.95), F.col("score") + 0.2) if asked else F.lit(0.6)
+    return votes.select("query", "votes", (F.lit(asked) & (2 * F.col("votes") > F.col("n"))).alias("connected"), sure.alias("confidence"))
+
+
+def keyword_search(entries: DataFrame, query: str, key: str, label: str, description: str, k: int = 5) -> DataFrame:
+    """The ``k`` entries that fit a word best, over 0.2; ties by key."""
+    from wireloom.functions.text import keyword_score
+
+    scored = entries.withColumn("score", keyword_score(F.lit(query), F.col(label), F.col(description)))
+    return scored.where(F.col("score") > 0.2).orderBy(F.desc("score"), key).limit(k)

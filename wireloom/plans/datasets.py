@@ -77,3 +77,45 @@ def coco_annotations(boxes: DataFrame) -> DataFrame:
 def merge_manifest(rows: DataFrame) -> DataFrame:
     """Rows by source and split, with subtotals and the total."""
     return rows.rollup("source", "split").agg(F.count("*").alias("n"))
+
+
+def coco_document(images: DataFrame, boxes: DataFrame, classes: DataFrame) -> dict[str, DataFrame]:
+    """The three lists of a COCO document: images (id, file_name, width, height), annotations, categories."""
+    return {
+        "images": images.select(F.col("image_id").alias("id"), "file_name", "width", "height"),
+        "annotations": coco_annotations(boxes),
+        "categories": classes.select(F.col("class_id").alias("id"), F.col("class_name").alias("name")),
+    }
+
+
+def write_coco(parts: dict[str, DataFrame], path: str) -> None:
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+#: Hash buckets that :func:`split_exactly` counts.
+SPLIT_BUCKETS = 4096
+
+
+def split_exactly(rows: DataFrame, key: str, train_share: float = 0.8) -> DataFrame:
+    """``rows`` with ``split``: the first ``int(n * share)`` in the order of a hash of the key are train.
+
+    Buckets of the hash are counted; only the bucket in which the cut lies is ranked.
+    """
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    named = rows.withColumns({"_h": place, "_b": F.floor(place / ((1 << 32) // SPLIT_BUCKETS))})
+    counts = {r["_b"]: r["count"] for r in named.groupBy("_b").count().collect()}
+    cut, bucket = int(sum(counts.values()) * train_share), 0
+    while bucket < SPLIT_BUCKETS and counts.get(bucket, 0) <= cut:
+        cut -= counts.get(bucket, 0)
+        bucket += 1
+    inside = named.where(F.col("_b") == bucket).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    whole = named.where(F.col("_b") != bucket).withColumn("_n", F.lit(None).cast("int"))
+    train = (F.col("_b") < bucket) | ((F.col("_b") == bucket) & (F.col("_n") <= cut))
+    return whole.unionByName(inside).withColumn("split", F.when(train, "train").otherwise("val")).drop("_h", "_b", "_n")
+
+
+def val_or_train(rows: DataFrame) -> DataFrame:
+    """Rows (source, split); a source without rows to validate on gives its training rows for that too."""
+    has = rows.where("split = 'val'").select("source").distinct()
+    return rows.unionByName(rows.where("split = 'train'").join(has, "source", "left_anti").withColumn("split", F.lit("val")))

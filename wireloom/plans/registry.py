@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENTS = "seq bigint, action string, version_id string"
@@ -53,3 +53,24 @@ def states(events: DataFrame) -> DataFrame:
 def rollback_target(states_of: DataFrame) -> DataFrame:
     """The version that a rollback promotes: the parent of the current one."""
     return states_of.where("status = 'current'").select(F.col("parent").alias("version_id"))
+
+
+def listed(versions: DataFrame) -> DataFrame:
+    """Versions in the order of their ids."""
+    return versions.orderBy("version_id")
+
+
+def write_back(events: DataFrame, versions: DataFrame, path: str) -> None:
+    """The registry as tables: the log, and each version's state and facts; a single writer overwrites both."""
+    events.write.mode("overwrite").parquet(f"{path}/events")
+    states(events).join(versions, "version_id", "left").write.mode("overwrite").parquet(f"{path}/versions")
+
+
+def weights_of(configured: Column, registered: Column, version: Column, exists: Column, use_registry: bool = True) -> tuple[Column, Column]:
+    """Path and origin of the weights: the configured ones, else those of the current version if they are there, else none."""
+    set_by_hand = F.coalesce(configured, F.lit("")) != ""
+    current = F.lit(use_registry) & registered.isNotNull() & F.coalesce(exists, F.lit(False))
+    return (
+        F.when(set_by_hand, configured).when(current, registered),
+        F.when(set_by_hand, "config").when(current, F.concat(F.lit("registry "), version)).otherwise("none"),
+    )

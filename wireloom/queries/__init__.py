@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from wireloom.queries import detection, graphs, learning, sheets, texts, vectors
+from wireloom.queries import detection, graphs, learning, sheets, survey, texts, vectors
 
 
 def registered() -> dict:
     """Name: (query of a session and a data folder, SQL or None)."""
     out = {}
-    for module in (vectors, detection, sheets, graphs, texts, learning):
+    for module in (vectors, detection, sheets, graphs, texts, learning, survey):
         out.update({name: (query, module.ORACLES.get(name)) for name, (query, _) in module.ENTRIES.items()})
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wireloom.functions import text as t
+from wireloom.operators import knn
 from wireloom.queries.views import SAMPLES, sql, table, view
 
 _CYR, _LAT = "АВСЕНКМОРТХУГЛавсенкмортху", "ABCEHKMOPTXYGLABCEHKMOPTXY"
@@ -51,10 +52,8 @@ JSON_EXTRACT = """select event_id, case when event_id % 5 = 0 then null else cas
 
 def keyword_search(spark, sf):
     """Keyword fallback of a retrieval query: label hits, then description hits, then the rest; the best five over 0.2."""
-    p = table(spark, sf, "part")
-    word = F.lit("small")
-    score = F.when(F.contains(F.lower("p_type"), word), 0.9).when(F.contains(F.lower("p_name"), word), 0.7).otherwise(0.1)
-    return p.select("p_partkey", "p_type", "p_name", score.alias("score")).where("score > 0.2").orderBy(F.desc("score"), "p_partkey").limit(5)
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_name")
+    return knn.keyword_search(p, "Small", "p_partkey", "p_type", "p_name")
 
 
 KEYWORD_SEARCH = """with s as (select p_partkey, p_type, p_name, cast(case when contains(lower(p_type), 'small') then 0.9 when contains(lower(p_name), 'small') then 0.7 else 0.1 end as double) as score from part)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wireloom.functions import vectors as v
 from wireloom.operators import knn
 from wireloom.queries.views import sql, table
+from wireloom.sources import writers
 
 _HITS = """with n as (select vec_id, label, embedding::double[] as v from embeddings),
 s as (select q.vec_id as query, e.vec_id as neighbour, e.label, round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)), 6) as score
@@ -47,7 +48,8 @@ def vector_upsert(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     fresh = e.where("vec_id % 7 = 0").withColumn("label", F.col("label") + 100).unionByName(e.where("vec_id % 7 = 1").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label"))
     gone = e.where("vec_id % 11 = 0").select("vec_id")
-    return e.join(fresh.select("vec_id"), "vec_id", "left_anti").unionByName(fresh).join(gone, "vec_id", "left_anti")
+    twice = fresh.withColumn("seq", F.lit(1)).unionByName(fresh.select("vec_id", (F.col("label") + 50).alias("label"), F.lit(0).alias("seq")))
+    return writers.delete(writers.upsert(e, twice, "vec_id", "seq"), gone, "vec_id")
 
 
 VECTOR_UPSERT = """select vec_id, case when vec_id % 7 = 0 then label + 100 else label end as label from embeddings where vec_id % 11 <> 0
@@ -57,10 +59,14 @@ union all select vec_id + 1000000, label from embeddings where vec_id % 7 = 1"""
 def vector_blend(spark, sf):
     e = table(spark, sf, "embeddings")
     mirrored = F.reverse("embedding")
-    return e.select("vec_id", F.round(v.cosine(F.col("embedding"), mirrored), 5).alias("cosine"), F.round(v.norm(v.blend(F.col("embedding"), mirrored)), 5).alias("length"))
+    mixed = v.blend(F.col("embedding"), mirrored)
+    return e.select("vec_id", F.round(v.cosine(F.col("embedding"), mirrored), 5).alias("cosine"), F.round(v.norm(mixed), 5).alias("length"), F.round(F.element_at(mixed, 1), 5).alias("first"), F.round(F.element_at(mixed, -1), 5).alias("last"))
 
 
-VECTOR_BLEND = """select vec_id, round(list_dot_product(embedding::double[], list_reverse(embedding)::double[]) / list_dot_product(embedding::double[], embedding::double[]), 5) as cosine, 1.0::double as length from embeddings"""
+VECTOR_BLEND = """with b as (select vec_id, embedding::double[] as v, list_reverse(embedding)::double[] as r from embeddings),
+m as (select vec_id, v, r, list_transform(range(1, len(v) + 1), lambda i: 0.7 * v[i] + 0.3 * r[i]) as m from b),
+n as (select vec_id, v, r, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) as u from m)
+select vec_id, round(list_dot_product(v, r) / list_dot_product(v, v), 5) as cosine, round(sqrt(list_dot_product(u, u)), 5) as length, round(u[1], 5) as first, round(u[len(u)], 5) as last from n"""
 
 ENTRIES = {
     "rag_topk": (rag_topk, RAG_TOPK),

@@ -30,10 +30,24 @@ def write_pages(manifests: DataFrame, path: str, page: str = "page") -> None:
     manifests.write.mode("overwrite").partitionBy(page).json(path)
 
 
-def upsert(store: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """``store`` with the rows of ``fresh`` in place of those of the same key; of repeated new keys one row stays."""
-    once = fresh.dropDuplicates([key])
-    return store.join(once.select(key), key, "left_anti").unionByName(once)
+def upsert(store: DataFrame, fresh: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``store`` with the rows of ``fresh`` in place of those of the same key.
+
+    Of repeated new keys the last by ``order`` stays (ties, and without one: the greatest row).
+    """
+    rest = [c for c in fresh.columns if c not in (key, order)]
+    ranked = F.struct(*([order] if order else []), *rest)
+    once = fresh.groupBy(key).agg(F.max(ranked).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in fresh.columns if c != key))
+    return store.join(once.select(key), key, "left_anti").unionByName(once.select(*store.columns))
+
+
+def delete(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return store.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def clear(store: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return store.limit(0)
 
 
 def write_labels(lines: DataFrame, path: str) -> None:
