@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MARKED: set[str] = set()
+_TABLES: list[DataFrame | None] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,11 +51,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _TABLES.append(out)
     return out
 
 
+def tables_since(mark: int) -> list[DataFrame]:
+    """The tables that are there and were written after so many others."""
+    return [t for t in _TABLES[mark:] if t is not None]
+
+
+def table_count() -> int:
+    return len(_TABLES)
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for table in tables:
         path, system = _file_system(table.sparkSession, table.written_at)
         system.delete(path, True)
+        for i, other in enumerate(_TABLES):
+            if other is table:
+                _TABLES[i] = None
