@@ -340,8 +340,10 @@ def across_components(lists: DataFrame, found: DataFrame, percent: int, block: i
     """
     long = lists.where("nth > 1 or salt > 0").select("gram").distinct()
     near = lists.join(long, "gram", "left_semi")
-    rows = near.select("gram", "s", "n", "place").unionByName(near.where("nth > 0").select("gram", F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place")).distinct())
-    rows = rows.distinct().join(found, "s", "left").select("gram", "s", "n", "place", F.coalesce("component", "s").alias("c"))
+    firsts = near.where("nth = 1 or salt > 0").select("gram", F.col("first").alias("s"), F.col("first_n").alias("n"), F.col("first_place").alias("place"))
+    # dealt by list and set: a join by list alone can then be split where a list is long
+    rows = near.select("gram", "s", "n", "place").unionByName(firsts).repartition("gram", "s").distinct()
+    rows = rows.join(found, "s", "left").select("gram", "s", "n", "place", F.coalesce("component", "s").alias("c"))
     counts = rows.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
     mixed = counts.agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
     mixed = mixed.select(
@@ -366,8 +368,8 @@ def across_components(lists: DataFrame, found: DataFrame, percent: int, block: i
     return met.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct()
 
 
-def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int, list_part: int, block: int, mask: int, rest: list[str]) -> DataFrame:
-    """number, doc, text, rest, n, s and c (the component, by its smallest name; null without n-grams) of every row."""
+def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int, list_part: int, block: int, mask: int, rest: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (number, doc, text, rest, n, s), and the components (s, component) of sets that link with others, by their smallest names."""
     spark = docs.sparkSession
     small_batches(spark)
     carried = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("string")
@@ -408,14 +410,15 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
         forgotten(texts)
         if not more.isEmpty():
             found = components(links.unionByName(more)).withColumnRenamed("node", "s")
-    return rows.join(found, "s", "left").select("number", "doc", "text", "rest", "n", "s", F.coalesce("component", "s").alias("c"))
+    return rows, found
 
 
 def link_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, list_part: int = LIST_PART, block: int = BLOCK_SETS, mask: int = NAME_MASK
 ) -> DataFrame:
     """key, n_shingles and component_id (smallest key that links reach) of every row; ``key`` is a column that can be ordered."""
-    named = linked_rows(docs, key, text, words, percent, list_part, block, mask, []).select("doc", "n", "c")
+    rows, found = linked_rows(docs, key, text, words, percent, list_part, block, mask, [])
+    named = rows.select("doc", "n", "s").join(found, "s", "left").select("doc", "n", F.coalesce("component", "s").alias("c"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc").alias("component_id"))
     return named.join(smallest, "c", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
@@ -429,10 +432,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     texts under one key, which are documents of their own.
     """
     rest = [c for c in docs.columns if c != text]
-    rows = linked_rows(docs, key, text, words, percent, LIST_PART, BLOCK_SETS, NAME_MASK, rest)
-    order = F.struct(F.col("doc").isNull().alias("none"), "doc", F.xxhash64("text").alias("t"), F.xxhash64(F.to_json("rest")).alias("r"), "number")
-    first = rows.where("n > 0").groupBy("c").agg(F.min(order).alias("first")).select(F.col("first.number").alias("number"))
-    alone = rows.where("n = 0").select("text", "rest")
-    kept = rows.where("n > 0").select("number", "text", "rest").join(first, "number", "left_semi").select("text", "rest").unionByName(alone)
+    rows, found = linked_rows(docs, key, text, words, percent, LIST_PART, BLOCK_SETS, NAME_MASK, rest)
+    # texts stay out of the joins that find the rows to drop
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", F.xxhash64("text").alias("t"), F.xxhash64(F.to_json("rest")).alias("r"), "number").alias("order")
+    narrow = rows.where("n > 0").select("s", order).join(found, "s").select("component", "order")
+    first = narrow.groupBy("component").agg(F.min("order").alias("first"))
+    # sets without links have but their own copies
+    alone = rows.where("n > 0").select("s", order).join(found, "s", "left_anti").groupBy("s").agg(F.min("order").alias("first"))
+    every = first.select("first.number").unionByName(alone.select("first.number"))
+    gone = written(rows.where("n > 0").select("number").join(every, "number", "left_anti"), "gone")
+    kept = rows.select("number", "text", "rest").join(gone, "number", "left_anti")
     kind = docs.schema[text].dataType
     return kept.select(*(F.col("text").cast(kind).alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
