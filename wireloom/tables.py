@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -72,3 +73,9 @@ def forgotten(*tables: DataFrame) -> None:
         for i, other in enumerate(_TABLES):
             if other is table:
                 _TABLES[i] = None
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the shuffle files of finished queries dropped now, and not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
