@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from wireloom.llm.byte_bpe import grouped
 from wireloom.llm.shared import small_batches
 from wireloom.operators.components import components
-from wireloom.tables import forgotten, written
+from wireloom.tables import forgotten, let_go, written
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency table and how they are cut for summing; 2 ** TABLE_BITS bytes are broadcast.
@@ -385,6 +385,7 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
     full = rows.where("n > 0")
 
     lists = first = written(stars(postings(full.select("s", "text"), classes, words, percent, list_part)), "lists")
+    let_go(spark)  # the postings' shuffle is the largest
     # the first sets of the parts of a salted list: a list of their own
     heads = first.where("salt > 0 and nth = 0").select("gram", F.lit(0).alias("salt"), "s", "n", "place")
     second = written(stars(heads), "lists")
@@ -400,14 +401,20 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
         return written(full.select("number", "text").join(ones.join(ends, "s"), "number").select("s", "text"), "texts")
 
     texts = texts_of(pairs)
+    let_go(spark)
     links = written(verified(pairs, texts, words, percent), "links")
+    forgotten(texts)
+    let_go(spark)
     found = components(links).withColumnRenamed("node", "s")
     across = written(across_components(lists, found, percent, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    forgotten(texts, first, second, pairs)
+    forgotten(first, second, pairs)
+    let_go(spark)
     if not across.isEmpty():
         texts = texts_of(across)
+        let_go(spark)
         more = written(verified(across, texts, words, percent), "links")
         forgotten(texts)
+        let_go(spark)
         if not more.isEmpty():
             found = components(links.unionByName(more)).withColumnRenamed("node", "s")
     return rows, found
@@ -441,6 +448,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     alone = rows.where("n > 0").select("s", order).join(found, "s", "left_anti").groupBy("s").agg(F.min("order").alias("first"))
     every = first.select("first.number").unionByName(alone.select("first.number"))
     gone = written(rows.where("n > 0").select("number").join(every, "number", "left_anti"), "gone")
+    let_go(docs.sparkSession)
     kept = rows.select("number", "text", "rest").join(gone, "number", "left_anti")
     kind = docs.schema[text].dataType
     return kept.select(*(F.col("text").cast(kind).alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
