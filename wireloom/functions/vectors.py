@@ -34,3 +34,9 @@ def blend(image: Column, text: Column, image_weight: float = 0.7) -> Column:
     """Weighted sum of an image and a text embedding, of unit length."""
     mixed = F.zip_with(_doubles(image), _doubles(text), lambda x, y: image_weight * x + (1 - image_weight) * y)
     return unit(mixed)
+
+
+def text_vector(text: Column, size: int = 512) -> Column:
+    """A vector of unit length from hashes of a text: the same for the same text in every process."""
+    part = lambda i: F.xxhash64(i, F.coalesce(text, F.lit(""))) / F.lit(float(1 << 63))
+    return unit(F.transform(F.sequence(F.lit(1), F.lit(size)), part))

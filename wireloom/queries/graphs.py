@@ -56,13 +56,16 @@ select d.sheet_id, d.x, d.y, list_filter(l.kept, lambda k: (k.x - d.x) * (k.x -
 
 def collinear_merge(spark, sf):
     s = view(spark, sf, "v_segments")
-    none = view(spark, sf, "v_pins").limit(0)
+    n = F.col("pin_number").cast("long")
+    pins = view(spark, sf, "v_pins").select("sheet_id", (F.pmod(n, F.lit(60)) * 10).cast("int").alias("x"), F.pmod(n, F.lit(6)).cast("int").alias("y"))
     line = s.withColumns({"sy": F.pmod("segment_id", F.lit(6)).cast("int"), "ey": F.pmod("segment_id", F.lit(6)).cast("int"), "sx": (F.pmod("segment_id", F.lit(60)) * 10).cast("int"), "ex": (F.pmod("segment_id", F.lit(60)) * 10 + 58 + F.pmod("segment_id", F.lit(5))).cast("int")})
-    return netlist.merge_collinear(line, none, 2.0).select("sheet_id", "sx", "sy", "ex", "ey", "confidence", "merged")
+    return netlist.merge_collinear(line, pins, 2.0).select("sheet_id", "sx", "sy", "ex", "ey", "confidence", "merged")
 
 
-COLLINEAR_MERGE = """with s as (select sheet_id, segment_id % 6 as line, segment_id % 60 * 10 as sx, segment_id % 60 * 10 + 58 + segment_id % 5 as ex, confidence from v_segments),
-g as (select *, case when sx - lag(ex) over (partition by sheet_id, line order by sx) between -2 and 2 then 0 else 1 end as fresh from s),
+COLLINEAR_MERGE = """with p as (select distinct sheet_id, cast(pin_number as int) % 60 * 10 as x, cast(pin_number as int) % 6 as y from v_pins),
+b as (select sheet_id, segment_id % 6 as line, segment_id % 60 * 10 as sx, segment_id % 60 * 10 + 58 + segment_id % 5 as ex, confidence from v_segments),
+s as (select b.*, exists (select 1 from p where p.sheet_id = b.sheet_id and p.x = b.sx and p.y = b.line) as sp, exists (select 1 from p where p.sheet_id = b.sheet_id and p.x = b.ex and p.y = b.line) as ep from b),
+g as (select *, case when sx - lag(ex) over (partition by sheet_id, line order by sx) between -2 and 2 and not sp and not lag(ep) over (partition by sheet_id, line order by sx) then 0 else 1 end as fresh from s),
 i as (select *, sum(fresh) over (partition by sheet_id, line order by sx) as part from g)
 select sheet_id, cast(min(sx) as int) as sx, cast(line as int) as sy, cast(max(ex) as int) as ex, cast(line as int) as ey, min(confidence) as confidence, cast(count(*) - 1 as int) as merged from i group by sheet_id, line, part"""
 

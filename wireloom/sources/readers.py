@@ -94,3 +94,24 @@ def image_info(files: DataFrame) -> DataFrame:
         F.when(F.col("format") == "png", _number(c, 17, 4)).when(F.col("format") == "gif", little(7, 2)).when(F.col("format") == "bmp", little(19, 4)).alias("width"),
         F.when(F.col("format") == "png", _number(c, 21, 4)).when(F.col("format") == "gif", little(9, 2)).when(F.col("format") == "bmp", little(23, 4)).alias("height"),
     )
+
+
+def read_dataset(path: str) -> dict:
+    """A data set's YAML: its folder, the folders of its splits (validation falls back to training), and class names by number."""
+    import os
+
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        told = yaml.safe_load(file) or {}
+    here = os.path.dirname(os.path.abspath(path))
+    names = told.get("names") or {}
+    numbered = enumerate(names) if isinstance(names, list) else names.items()
+    train = told.get("train", "images/train")
+    return {"path": os.path.normpath(os.path.join(here, told.get("path", ""))), "train": train, "val": told.get("val", train), "names": {int(k): v for k, v in numbered}}
+
+
+def read_vector_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of a stored index beside their vectors, by id; what has only one of the two goes, and so do places of pictures and times."""
+    entries = spark.read.schema(schema).json(f"{path}/meta").drop("image_path", "created_at")
+    return entries.join(spark.read.parquet(f"{path}/vectors").select("id", "embedding"), "id")
