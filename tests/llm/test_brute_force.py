@@ -134,6 +134,7 @@ def altered(seed, n):
 def test_jaccard_components(spark, monkeypatch, seed, list_part, batch, block, mask):
     """Also with lists cut into parts and blocks, with lists that go over the borders of Arrow batches, and with names that agree."""
     monkeypatch.setattr("wireloom.llm.shared.BATCH_ROWS", batch)
+    monkeypatch.setattr(jaccard_join, "WANTED", list_part)
     rows = altered(seed, 220)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(docs, list_part=list_part, block=block, mask=mask).collect()}
@@ -237,6 +238,16 @@ def test_filters_lose_no_link():
             shared = len(np.intersect1d(x, y))
             assert jaccard_join.suffix_bound(x, y) >= shared
             assert jaccard_join.linked(x, y) == (100 * shared >= 75 * (len(x) + len(y) - shared))
+    # outlines, with ranges that hold 255 n-grams and more
+    for size in (3, 400, 200_000):
+        base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        sets = [base, base[rng.random(len(base)) > 0.2], base[:2], base[:0], rng.integers(0, 1 << 64, size, dtype=np.uint64)]
+        told = jaccard_join.outlines(sets)
+        assert [len(x or b"") for x in told] == [jaccard_join.BINS if len(s) else 0 for s in sets]
+        told = [np.frombuffer(x, np.uint8).reshape(1, -1) if x else None for x in told]
+        for a, x in zip(told, sets, strict=True):
+            for b, y in zip(told, sets, strict=True):
+                assert a is None or b is None or jaccard_join.most_shared(a, b)[0] >= len(np.intersect1d(x, y))
 
 
 @needs_data

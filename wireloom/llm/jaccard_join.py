@@ -12,8 +12,10 @@ set from here on, named by a 64-bit signature.
 Candidates.  Prefix n-grams are shuffled and sorted.  Each list of the sets
 that share one is streamed: its first set, the one with the fewest rarer
 n-grams, is paired with every other (a star, not all pairs), if the length and
-positional filters pass.  Each pair is verified once, after a suffix filter, on
-the whole texts.  Links make components.  Only in lists that still touch several
+positional filters pass.  A suffix filter follows that needs no texts: a set's
+outline tells how many of its n-grams lie in each of :data:`BINS` ranges, and two
+sets share at most the smaller count of each.  Each pair that is left is verified
+once, on the whole texts.  Links make components.  Only in lists that still touch several
 components can a link be missing that matters: there every set outside the
 list's largest component meets the sets of other components, and what passes the
 filters is verified as well, so no component is ever short of a link.  These
@@ -55,8 +57,12 @@ CLASS_BITS = 7
 LIST_PART = 1 << 20
 #: Sets of a block of a list in which components meet.
 BLOCK_SETS = 2048
+#: Numbers of rows whose texts are asked for that are broadcast (about 25 bytes each); more are shuffled, with the same result.
+WANTED = 1 << 21
 #: Bits that names of sets keep; fewer in tests, so that names agree.
 NAME_MASK = (1 << 64) - 1
+#: Ranges of n-grams that a set's outline counts; a count of 255 stands for more as well.
+BINS = 1 << 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BYTES = None
 _POWERS = np.ones(1, np.uint64)
@@ -139,6 +145,24 @@ def class_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8).clip(0, (1 << CLASS_BITS) - 1)
 
 
+def outlines(sets: list[np.ndarray]) -> list[bytes | None]:
+    """How many n-grams each set has in each of :data:`BINS` ranges, a byte a range; none of empty sets."""
+    size = [len(s) for s in sets]
+    if not sum(size):
+        return [None] * len(sets)
+    cells = (np.concatenate(sets) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(sets)), size) * BINS + cells, minlength=len(sets) * BINS)
+    told = counts.clip(0, 255).astype(np.uint8).reshape(-1, BINS)
+    return [x.tobytes() if k else None for x, k in zip(told, size, strict=True)]
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most so many n-grams are shared by the sets with these outlines, row by row."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    most[((x == 255) & (y == 255)).any(axis=1)] = np.iinfo(np.int64).max
+    return most
+
+
 def least_shared(a: int, b: int, percent: int = PERCENT) -> int:
     """The fewest shared n-grams that link sets of these sizes."""
     return -(-percent * (a + b) // (100 + percent))
@@ -168,9 +192,9 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
-    """The rows of ``docs`` (doc, text, rest) with number, n, s and s2, and rows (slice, counts) of the tasks' frequency tables."""
+    """The rows of ``docs`` (doc, text, rest) with number, n, s, s2 and outline, and rows (slice, counts) of the tasks' frequency tables."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    told = "number bigint, n bigint, s bigint, s2 bigint, slice int, counts binary"
+    told = "number bigint, n bigint, s bigint, s2 bigint, outline binary, slice int, counts binary"
     own = list(kinds)
 
     def run(batches):
@@ -192,6 +216,7 @@ def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x for x, _ in names], pa.int64()),
                     pa.array([x for _, x in names], pa.int64()),
+                    pa.array(outlines(sets), pa.binary()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ]
@@ -199,10 +224,10 @@ def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(group[0], n) for c in own), *made], names=[*own, *made_names])
         if types:
             parts = [zlib.compress(p.tobytes(), 1) for p in table.reshape(SLICES, -1)]
-            nothing = [pa.nulls(SLICES, t) for t in [*types, *[pa.int64()] * 4]]
+            nothing = [pa.nulls(SLICES, t) for t in [*types, *[pa.int64()] * 4, pa.binary()]]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=[*own, *made_names])
 
-    made_names = ["number", "n", "s", "s2", "slice", "counts"]
+    made_names = ["number", "n", "s", "s2", "outline", "slice", "counts"]
     return docs.mapInArrow(run, ", ".join([f"{c} {k}" for c, k in kinds.items()] + [told]))
 
 
@@ -306,6 +331,22 @@ def may_link(a_n, a_place, b_n, b_place, percent: int = PERCENT):
     return (100 + percent) * rest >= percent * (F.col(a_n) + F.col(b_n))
 
 
+def outlined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the outlines of their sets (s, n, outline) leave: the suffix filter, before any text is moved."""
+    right = sets.select(F.col("s").alias("b"), F.col("n").alias("b_n"), F.col("outline").alias("b_outline"))
+    left = sets.select(F.col("s").alias("a"), F.col("n").alias("a_n"), F.col("outline").alias("a_outline"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_n", "b_n", "a_outline", "b_outline")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a_outline", "b_outline"))
+            keep = pa.array(most_shared(x, y) >= least_shared(n, 0, percent))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, each verified once on the whole texts ``texts`` (s, text)."""
     small_batches(pairs.sparkSession)
@@ -383,6 +424,7 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
     if twice:
         rows = rows.withColumn("s", F.when(F.col("s").isin(twice), F.col("s2")).otherwise(F.col("s")))
     full = rows.where("n > 0")
+    sets = full.select("s", "n", "outline").distinct()
 
     lists = first = written(stars(postings(full.select("s", "text"), classes, words, percent, list_part)), "lists")
     let_go(spark)  # the postings' shuffle is the largest
@@ -398,15 +440,20 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
 
     def texts_of(ends: DataFrame) -> DataFrame:
         ends = ends.select(F.col("a").alias("s")).unionByName(ends.select(F.col("b").alias("s"))).distinct()
-        return written(full.select("number", "text").join(ones.join(ends, "s"), "number").select("s", "text"), "texts")
-
-    texts = texts_of(pairs)
+        wanted = written(ones.join(ends, "s"), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+        out = written(full.select("number", "text").join(few, "number").select("s", "text"), "texts")
+        forgotten(wanted)
+        return out
+
+    near = written(outlined(pairs, sets, percent), "pairs")
+    texts = texts_of(near)
     let_go(spark)
-    links = written(verified(pairs, texts, words, percent), "links")
-    forgotten(texts)
+    links = written(verified(near, texts, words, percent), "links")
+    forgotten(texts, near)
     let_go(spark)
     found = components(links).withColumnRenamed("node", "s")
-    across = written(across_components(lists, found, percent, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    across = written(outlined(across_components(lists, found, percent, block).join(pairs, ["a", "b"], "left_anti"), sets, percent), "pairs")
     forgotten(first, second, pairs)
     let_go(spark)
     if not across.isEmpty():
