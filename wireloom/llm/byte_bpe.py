@@ -237,11 +237,12 @@ class Encoder:
         return self.bytes[shift + np.arange(at[-1])].tobytes()
 
 
-def grouped(texts: list[bytes]):
-    """Indices of texts of about :data:`CHUNK_BYTES` together."""
+def grouped(texts: list[bytes], most: int | None = None):
+    """Indices of texts of about ``most`` bytes together, :data:`CHUNK_BYTES` unless given."""
+    most = most or CHUNK_BYTES
     group, size = [], 0
     for i, text in enumerate(texts):
-        if group and size + len(text) > CHUNK_BYTES:
+        if group and size + len(text) > most:
             yield group
             group, size = [], 0
         group.append(i)

@@ -61,6 +61,8 @@ BLOCK_SETS = 2048
 WANTED = 1 << 21
 #: Bits that names of sets keep; fewer in tests, so that names agree.
 NAME_MASK = (1 << 64) - 1
+#: Bytes of text that are hashed at once (a worker takes about 60 times that), and rows that a scan holds at once.
+CHUNK_BYTES, SCAN_ROWS = 512 << 10, 512
 #: Ranges of n-grams that a set's outline counts; a count of 255 stands for more as well.
 BINS = 1 << 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -203,7 +205,7 @@ def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
         for batch in batches:
             types = [batch.schema.field(c).type for c in own]
             texts = _texts(batch, "text")
-            for group in grouped(texts):
+            for group in grouped(texts, CHUNK_BYTES):
                 sets = gram_hashes([texts[i] for i in group], words)
                 full = [s for s in sets if len(s)]
                 if full:
@@ -263,7 +265,7 @@ def postings(docs: DataFrame, classes, words: int, percent: int, list_part: int)
     def run(batches):
         for batch in batches:
             texts, names = _texts(batch, "text"), batch.column("s").to_numpy(zero_copy_only=False)
-            for group in grouped(texts):
+            for group in grouped(texts, CHUNK_BYTES):
                 sets = gram_hashes([texts[i] for i in group], words)
                 n = np.array([len(s) for s in sets])
                 size = n + (-percent * n // 100) + 1
@@ -361,7 +363,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             a_texts, b_texts = batch.column("a_text"), _texts(batch, "b_text")
             keep = []
-            for i, other in enumerate(x for g in grouped(b_texts) for x in gram_hashes([b_texts[k] for k in g], words)):
+            for i, other in enumerate(x for g in grouped(b_texts, CHUNK_BYTES) for x in gram_hashes([b_texts[k] for k in g], words)):
                 if a[i] != name:
                     name, own = a[i], gram_hashes([(a_texts[i].as_py() or "").encode()], words)[0]
                 keep.append(linked(own, other, percent))
@@ -413,6 +415,7 @@ def linked_rows(docs: DataFrame, key: str, text: str, words: int, percent: int,
     """Rows (number, doc, text, rest, n, s), and the components (s, component) of sets that link with others, by their smallest names."""
     spark = docs.sparkSession
     small_batches(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     carried = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("string")
     own = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("rest"))
     told = written(describe(own, words, mask), "sets")
