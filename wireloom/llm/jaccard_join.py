@@ -13,8 +13,8 @@ Candidates.  Prefix n-grams are shuffled and sorted.  Each list of the sets
 that share one is streamed: its first set, the one with the fewest rarer
 n-grams, is paired with every other (a star, not all pairs), if the length and
 positional filters pass.  A suffix filter follows that needs no texts: a set's
-outline tells how many of its n-grams lie in each of :data:`BINS` ranges, and two
-sets share at most the smaller count of each.  Each pair that is left is verified
+outline tells how many of its n-grams lie in each of some ranges, and two sets
+share at most the smaller count of each.  Each pair that is left is verified
 once, on the whole texts.  Links make components.  Only in lists that still touch several
 components can a link be missing that matters: there every set outside the
 list's largest component meets the sets of other components, and what passes the
@@ -63,8 +63,8 @@ WANTED = 1 << 21
 NAME_MASK = (1 << 64) - 1
 #: Bytes of text that are hashed at once (a worker takes about 60 times that), and rows that a scan holds at once.
 CHUNK_BYTES, SCAN_ROWS = 512 << 10, 512
-#: Ranges of n-grams that a set's outline counts; a count of 255 stands for more as well.
-BINS = 1 << 8
+#: A set's outline has two to this power of ranges at least; a count of 255 stands for more as well.
+LEAST_BITS = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 _BYTES = None
 _POWERS = np.ones(1, np.uint64)
@@ -147,22 +147,22 @@ def class_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(4 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8).clip(0, (1 << CLASS_BITS) - 1)
 
 
-def outlines(sets: list[np.ndarray]) -> list[bytes | None]:
-    """How many n-grams each set has in each of :data:`BINS` ranges, a byte a range; none of empty sets."""
-    size = [len(s) for s in sets]
-    if not sum(size):
-        return [None] * len(sets)
-    cells = (np.concatenate(sets) >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(sets)), size) * BINS + cells, minlength=len(sets) * BINS)
-    told = counts.clip(0, 255).astype(np.uint8).reshape(-1, BINS)
-    return [x.tobytes() if k else None for x, k in zip(told, size, strict=True)]
+def outline(hashes: np.ndarray) -> bytes | None:
+    """How many n-grams a set has in each of equal ranges, a byte a range and two to four n-grams in most; none of an empty set."""
+    if not len(hashes):
+        return None
+    bits = max(LEAST_BITS, len(hashes).bit_length() - 2)
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.clip(0, 255).astype(np.uint8).tobytes()
 
 
-def most_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """At most so many n-grams are shared by the sets with these outlines, row by row."""
-    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-    most[((x == 255) & (y == 255)).any(axis=1)] = np.iinfo(np.int64).max
-    return most
+def most_shared(x: bytes, y: bytes) -> int:
+    """At most so many n-grams are shared by the sets with these outlines; ranges of the finer one are taken together."""
+    ranges, counts = min(len(x), len(y)), []
+    for told in (np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)):
+        told = told.reshape(ranges, -1)
+        counts.append(np.where((told == 255).any(axis=1), 1 << 40, told.sum(axis=1, dtype=np.int64)))
+    return int(np.minimum(*counts).sum())
 
 
 def least_shared(a: int, b: int, percent: int = PERCENT) -> int:
@@ -218,7 +218,7 @@ def describe(docs: DataFrame, words: int, mask: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x for x, _ in names], pa.int64()),
                     pa.array([x for _, x in names], pa.int64()),
-                    pa.array(outlines(sets), pa.binary()),
+                    pa.array([outline(s) for s in sets], pa.binary()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ]
@@ -341,9 +341,9 @@ def outlined(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a_outline", "b_outline"))
-            keep = pa.array(most_shared(x, y) >= least_shared(n, 0, percent))
+            need = least_shared(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), percent)
+            most = [most_shared(x, y) for x, y in zip(batch.column("a_outline").to_pylist(), batch.column("b_outline").to_pylist(), strict=True)]
+            keep = pa.array(np.array(most, np.int64) >= need)
             yield batch.select(["a", "b"]).filter(keep)
 
     return both.mapInArrow(run, "a bigint, b bigint")
