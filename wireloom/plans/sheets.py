@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import area, box, floor_centre, projection, touches
-from wireloom.operators.components import components
+from wireloom.operators.groups import by_group
 from wireloom.operators.spatial import nearest, spatial_join
 from wireloom.schema import CYRILLIC, LATIN
-from wireloom.tables import written
 
 NO_WIRES = ("junction_dot", "device_block")
 
@@ -169,20 +172,56 @@ def drop_isolated(segments: DataFrame, boxes: DataFrame, short: float = 50.0, re
 
 
 def merge_touching(boxes: DataFrame, pad: int = 2) -> DataFrame:
-    """Hulls (sheet_id, x0, y0, x1, y1) of boxes that touch, until no two hulls do: hulls grow, so rounds repeat."""
-    now = written(boxes.select("sheet_id", "x0", "y0", "x1", "y1").distinct(), "hulls")
-    n = now.count()
+    """Hulls (sheet_id, x0, y0, x1, y1) of boxes that touch, until no two hulls do.
+
+    Hulls grow, so rounds repeat, within the sheet: one shuffle in all.  A sheet is held in one task.
+    """
+    rows = boxes.select("sheet_id", *_CORNERS).distinct()
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in rows.columns))
+
+    def body(table, starts):
+        corners = np.stack([table.column(c).to_numpy() for c in _CORNERS], 1)
+        made = [_hulls(corners[lo:hi], pad) for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+        own = table.column("sheet_id").combine_chunks().take(pa.array(np.repeat(starts[:-1], [len(m) for m in made])))
+        flat = np.concatenate(made)
+        return pa.table([own, *(pa.array(flat[:, i]).cast(table.schema.field(c).type) for i, c in enumerate(_CORNERS))], names=["sheet_id", *_CORNERS])
+
+    # what lacks a corner or a sheet touches nothing
+    return by_group(rows.where(whole), ["sheet_id"], [], body, rows.schema).unionByName(rows.where(~whole))
+
+
+_CORNERS = ("x0", "y0", "x1", "y1")
+#: Boxes that are held against the others at once.
+_AT_ONCE = 256
+
+
+def _hulls(b: np.ndarray, pad: int) -> np.ndarray:
+    """The hulls of one sheet's boxes: touching is asked of boxes by their left sides, a window at a time."""
     while True:
-        key = F.format_string("%020d %d %d %d %d", "sheet_id", "x0", "y0", "x1", "y1")
-        rows = now.withColumn("id", key)
-        side = lambda s: rows.select("sheet_id", F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("x0", "y0", "x1", "y1")))
-        pairs = spatial_join(side("a"), side("b"), ["sheet_id"], lambda: (F.col("a_id") < F.col("b_id")) & touches(box("a_"), box("b_"), pad), 64, pad)
-        found = components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-        hulls = rows.join(found, rows["id"] == found["node"], "left").groupBy("sheet_id", F.coalesce("component", "id").alias("c"))
-        now = written(hulls.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("c"), "hulls")
-        if (m := now.count()) == n:
-            return now
-        n = m
+        b = b[np.argsort(b[:, 0], kind="stable")]
+        root = list(range(len(b)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for lo in range(0, len(b), _AT_ONCE):
+            some = b[lo : lo + _AT_ONCE]
+            others = b[lo : np.searchsorted(b[:, 0], some[:, 2].max() + pad, "right")]
+            p, q = some[:, None], others[None]
+            meet = (p[..., 0] - pad <= q[..., 2]) & (q[..., 0] - pad <= p[..., 2]) & (p[..., 1] - pad <= q[..., 3]) & (q[..., 1] - pad <= p[..., 3])
+            i, k = np.nonzero(meet)
+            for x, y in zip((i[k > i] + lo).tolist(), (k[k > i] + lo).tolist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        part = np.array([find(x) for x in range(len(b))], np.int64)
+        if (part == np.arange(len(b))).all():
+            return b
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+        b = np.concatenate([np.minimum.reduceat(b[order][:, :2], first), np.maximum.reduceat(b[order][:, 2:], first)], 1)
 
 
 def scale_score(candidates: DataFrame, least: float = 0.62) -> DataFrame:
