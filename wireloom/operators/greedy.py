@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import area, intersection
 from wireloom.operators.spatial import spatial_join
+from wireloom.tables import shuffled
 
 
 def greedy_leader(
@@ -102,8 +103,8 @@ def canonical_points(points: DataFrame, tolerance: float = 2.0, key: str = "shee
     crowded = spatial_join(side("a"), side("b"), [key], near, max(16, int(4 * tolerance)), tolerance).select(key, "a_id.x", "a_id.y").distinct()
     leaders = greedy_leader(crowded, [key], [F.col("x"), F.col("y")], close).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_l"))
     first = F.element_at(F.filter("_l", lambda k: close(k, F.struct("x", "y"))), 1)
-    moved = crowded.join(leaders, key).select(key, "x", "y", first.alias("_c"))
-    out = distinct.join(moved, [key, "x", "y"], "left")
+    moved = crowded.join(shuffled(leaders), key).select(key, "x", "y", first.alias("_c"))
+    out = distinct.join(shuffled(moved), [key, "x", "y"], "left")
     return out.select(key, "x", "y", F.coalesce("_c.x", "x").alias("cx"), F.coalesce("_c.y", "y").alias("cy"))
 
 

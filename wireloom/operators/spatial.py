@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import box
+from wireloom.tables import shuffled
 
 
 def _cells(df: DataFrame, side: str, cell: int, pad: float) -> DataFrame:
@@ -32,10 +33,10 @@ def spatial_join(
     """
     left, right = _cells(a, "a_", cell, pad), _cells(b, "b_", cell, 0)
     first = (F.col("_cx") == F.greatest("_a_cx", "_b_cx")) & (F.col("_cy") == F.greatest("_a_cy", "_b_cy"))
-    pairs = left.join(right, [*keys, "_cx", "_cy"]).where(first & on()).drop("_cx", "_cy", "_a_cx", "_a_cy", "_b_cx", "_b_cy")
+    pairs = left.join(shuffled(right), [*keys, "_cx", "_cy"]).where(first & on()).drop("_cx", "_cy", "_a_cx", "_a_cy", "_b_cx", "_b_cy")
     if how == "inner":
         return pairs
-    return a.join(pairs.select(*keys, "a_id").distinct(), [*keys, "a_id"], how)
+    return a.join(shuffled(pairs.select(*keys, "a_id").distinct()), [*keys, "a_id"], how)
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], radius: float, k: int = 1, strict: bool = False) -> DataFrame:

@@ -56,6 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that grows with the input: never broadcast.
+
+    Spark goes by the size of a file, and packed coordinates and names take a
+    hundred times that in the driver's memory; behind an explode it is off once more.
+    """
+    return df.hint("merge")
+
+
 def tables_since(mark: int) -> list[DataFrame]:
     """The tables that are there and were written after so many others."""
     return [t for t in _TABLES[mark:] if t is not None]
