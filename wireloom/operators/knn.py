@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that are held in memory and sent to the executors at once.
 BLOCK = 4096
+#: Queries and vectors that a task holds against each other at once: its memory doesn't grow with either.
+_QUERIES, _VECTORS = 512, 1024
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -30,19 +33,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
 
         def best(batches, shared=shared):
             keys, matrix = shared.value
-            top_s, top_k = np.full((len(keys), 0), 0.0), np.zeros((len(keys), 0), np.int64)
+            top_s, top_k = np.full((len(keys), k), -np.inf), np.zeros((len(keys), k), np.int64)
             for batch in batches:
                 if not batch.num_rows or not len(keys):
                     continue
                 ids = batch.column(0).to_numpy()
-                data = _unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1))
-                # by einsum: equal rows get equal sums, whatever stands around them
-                scores = np.round(np.einsum("qd,nd->qn", matrix, data), digits)
-                scores[keys[:, None] == ids[None, :]] = -np.inf
-                all_s, all_k = np.hstack([top_s, scores]), np.hstack([top_k, np.tile(ids, (len(keys), 1))])
-                order = np.lexsort((all_k, -all_s), axis=1)[:, :k]
-                top_s, top_k = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_k, order, 1)
-            rows = np.repeat(keys, top_s.shape[1])
+                data = _unit(_matrix(batch.column(1)))
+                for n in range(0, len(ids), _VECTORS):
+                    for q in range(0, len(keys), _QUERIES):
+                        here = slice(q, q + _QUERIES)
+                        top_s[here], top_k[here] = _better(top_s[here], top_k[here], keys[here], matrix[here], ids[n : n + _VECTORS], data[n : n + _VECTORS], digits)
+            rows = np.repeat(keys, k)
             flat = top_s.ravel()
             real = np.isfinite(flat)
             yield pa.RecordBatch.from_arrays([pa.array(rows[real]), pa.array(top_k.ravel()[real]), pa.array(flat[real])], names=["query", "neighbour", "score"])
@@ -53,6 +54,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Arrays of numbers, all of one length, as rows."""
+    if lists.null_count or lists.flatten().null_count or pc.count_distinct(pc.list_value_length(lists)).as_py() != 1:
+        return np.array(lists.to_pylist(), np.float64).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
+def _better(top_s, top_k, keys, matrix, ids, data, digits):
+    """The best scores and keys of some queries so far, with some more vectors."""
+    # by einsum: equal rows get equal sums, whatever stands around them
+    scores = np.round(np.einsum("qd,nd->qn", matrix, data), digits)
+    scores[keys[:, None] == ids[None, :]] = -np.inf
+    # only what reaches a query's last place so far is sorted: these few, each beside its query
+    row, at = np.nonzero((scores >= top_s[:, -1:]) & (scores > -np.inf))
+    if not len(row):
+        return top_s, top_k
+    k = top_s.shape[1]
+    q = np.concatenate([np.repeat(np.arange(len(keys)), k), row])
+    s, i = np.concatenate([top_s.ravel(), scores[row, at]]), np.concatenate([top_k.ravel(), ids[at]])
+    order = np.lexsort((i, -s, q))
+    first = np.flatnonzero(np.r_[True, np.diff(q[order]) > 0])
+    best = order[(first[:, None] + np.arange(k)).ravel()]
+    return s[best].reshape(-1, k), i[best].reshape(-1, k)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.sqrt(np.einsum("nd,nd->n", m, m))[:, None] if m.size else np.ones((len(m), 1))
     return m / np.where(size > 0, size, 1)
