@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireloom.functions.geometry import area, intersection
+from wireloom.operators.groups import by_group
 from wireloom.operators.spatial import spatial_join
 from wireloom.tables import shuffled
 
@@ -71,22 +74,40 @@ def drop_repeated_texts(texts: DataFrame, threshold: float = 0.5, key: str = "sh
 def drop_contained_segments(segments: DataFrame, tolerance: int = 2, key: str = "sheet_id") -> DataFrame:
     """Segments from the longest down; one whose ends both lie by a kept segment goes."""
     dx, dy = F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy")
-
-    def near(k: Column, px: Column, py: Column) -> Column:
-        ux, uy = k["ex"] - k["sx"], k["ey"] - k["sy"]
-        size = (ux * ux + uy * uy).cast("double")
-        t = F.when(size == 0, F.lit(0.0)).otherwise(
-            F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - k["sx"]) * ux + (py - k["sy"]) * uy) / F.nullif(size, F.lit(0.0))))
-        )
-        ox, oy = px - (k["sx"] + t * ux), py - (k["sy"] + t * uy)
-        return ox * ox + oy * oy <= tolerance * tolerance
-
-    return greedy_leader(
-        segments,
-        [key],
-        [-(dx * dx + dy * dy), F.col("segment_id")],
-        lambda k, x: near(k, x["sx"], x["sy"]) & near(k, x["ex"], x["ey"]),
-    )
+    rest = [c for c in segments.columns if c != key]
+
+    def body(table, starts):
+        ends = np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("sx", "sy", "ex", "ey")], 1)
+        return table.take(pa.array(np.concatenate([lo + _uncontained(ends[lo:hi], tolerance) for lo, hi in zip(starts[:-1], starts[1:], strict=True)])))
+
+    return by_group(segments.select(key, *rest), [key], [-(dx * dx + dy * dy), F.col("segment_id"), *rest], body, segments.select(key, *rest).schema)
+
+
+def _by(k: np.ndarray, px: np.ndarray, py: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether points (down) lie by segments (across)."""
+    sx, sy, ux, uy = k[:, 0], k[:, 1], k[:, 2] - k[:, 0], k[:, 3] - k[:, 1]
+    size = ux * ux + uy * uy
+    px, py = px[:, None], py[:, None]
+    t = np.where(size == 0, 0.0, np.clip(((px - sx) * ux + (py - sy) * uy) / np.where(size == 0, 1.0, size), 0.0, 1.0))
+    ox, oy = px - (sx + t * ux), py - (sy + t * uy)
+    return ox * ox + oy * oy <= tolerance * tolerance
+
+
+def _uncontained(ends: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which of a group's segments, in their order, lie by none kept before: a few new ones at a time, against all kept."""
+    kept = np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = min(len(ends), lo + max(1, min(256, (1 << 18) // max(1, len(kept)))))
+        new = ends[lo:hi]
+        inside = lambda k: _by(k, new[:, 0], new[:, 1], tolerance) & _by(k, new[:, 2], new[:, 3], tolerance)  # noqa: B023, E731
+        stays = ~inside(ends[kept]).any(1)
+        own = np.tril(inside(new), -1)
+        for i in np.flatnonzero(own.any(1) & stays):
+            stays[i] = not (own[i] & stays).any()
+        kept = np.concatenate([kept, lo + np.flatnonzero(stays)])
+        lo = hi
+    return kept
 
 
 def canonical_points(points: DataFrame, tolerance: float = 2.0, key: str = "sheet_id") -> DataFrame:
