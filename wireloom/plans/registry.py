@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 EVENTS = "seq bigint, action string, version_id string"
 
 
+#: Rows of a log that are put in order at once, and the most parts that it is cut into.
+PART_ROWS, MOST_PARTS = 200_000, 1024
+
+
+def _part(seq: Column, bounds: list, lo: int = 0, hi: int | None = None) -> Column:
+    """How many of the sorted bounds a number reaches, by halving."""
+    hi = len(bounds) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(seq < F.lit(bounds[mid]), _part(seq, bounds, lo, mid)).otherwise(_part(seq, bounds, mid + 1, hi))
+
+
 def next_version(n_versions: int, taken: set[str]) -> str:
     """``v`` and six digits: one more than there are, or the first free number after it."""
     n = n_versions + 1
@@ -21,17 +34,26 @@ def states(events: DataFrame) -> DataFrame:
 
     The first registered version is promoted at once.  Promotion retires the
     version before it and ends a running comparison; a version's parent is the
-    current one at its registration.
+    current one at its registration.  The log is read in parts by number, so
+    that no task puts all of it in order.
     """
-    everything = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min(F.when(F.col("action") == "register", F.col("seq"))).over(Window.partitionBy())
-    promoted = (F.col("action") == "promote") | ((F.col("action") == "register") & (F.col("seq") == first))
-    log = events.withColumn("is_promotion", promoted)
-    log = log.withColumn("current", F.last(F.when(F.col("is_promotion"), F.col("version_id")), ignorenulls=True).over(everything))
-    before = F.lag("current").over(Window.orderBy("seq"))
-    log = log.withColumn("parent", F.when(F.col("action") == "register", before))
-    end = log.agg(
-        F.max_by("current", "seq").alias("now"),
+    told = events.agg(F.count("*").alias("n"), F.min(F.when(F.col("action") == "register", F.col("seq"))).alias("first")).first()
+    n_parts = max(1, min(MOST_PARTS, -(-told["n"] // PART_ROWS)))
+    bounds = []
+    if n_parts > 1:
+        bounds = sorted(set(events.agg(F.percentile_approx("seq", [i / n_parts for i in range(1, n_parts)])).first()[0] or []))
+    promoted = (F.col("action") == "promote") | ((F.col("action") == "register") & (F.col("seq") == F.lit(told["first"])))
+    log = events.withColumns({"is_promotion": promoted, "part": F.when(F.col("seq").isNull(), -1).otherwise(_part(F.col("seq"), bounds))})
+    version = F.when(F.col("is_promotion"), F.col("version_id"))
+    # what a part of the log hands on is one row; a part goes on from the last promotion of those before it
+    last = log.where(F.col("is_promotion") & F.col("version_id").isNotNull()).groupBy("part").agg(F.max_by("version_id", "seq").alias("last"))
+    parts = events.sparkSession.range(-1, len(bounds) + 1).select(F.col("id").cast("int").alias("part")).join(F.broadcast(last), "part", "left")
+    carried = parts.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    so_far = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    log = log.withColumn("before", F.last(version, ignorenulls=True).over(so_far)).join(F.broadcast(carried), "part")
+    log = log.withColumn("parent", F.when(F.col("action") == "register", F.coalesce("before", "carried")))
+    end = events.withColumn("is_promotion", promoted).agg(
+        F.max_by(F.col("version_id"), F.when(F.col("is_promotion") & F.col("version_id").isNotNull(), F.col("seq"))).alias("now"),
         F.max(F.when(F.col("is_promotion") | (F.col("action") == "stop_ab"), F.col("seq"))).alias("ended"),
     )
     own = log.groupBy("version_id").agg(
