@@ -23,7 +23,7 @@ def _cells(df: DataFrame, side: str, cell: int, pad: float) -> DataFrame:
 
 
 def spatial_join(
-    a: DataFrame, b: DataFrame, keys: list[str], on: Callable[[], Column], cell: int = 64, pad: float = 0, how: str = "inner"
+    a: DataFrame, b: DataFrame, keys: list[str], on: Callable[[], Column], cell: int = 64, pad: float = 0, how: str = "inner", b_pad: float = 0
 ) -> DataFrame:
     """Rows of ``a`` (box columns ``a_x0`` ...) and ``b`` (``b_x0`` ...) of equal ``keys`` whose padded boxes share a cell, and ``on`` holds.
 
@@ -31,7 +31,7 @@ def spatial_join(
     needs to be made distinct.  ``how``: inner, or left_semi / left_anti, which
     keep rows of ``a`` (they must be told apart by a column ``a_id``).
     """
-    left, right = _cells(a, "a_", cell, pad), _cells(b, "b_", cell, 0)
+    left, right = _cells(a, "a_", cell, pad), _cells(b, "b_", cell, b_pad)
     first = (F.col("_cx") == F.greatest("_a_cx", "_b_cx")) & (F.col("_cy") == F.greatest("_a_cy", "_b_cy"))
     pairs = left.join(shuffled(right), [*keys, "_cx", "_cy"]).where(first & on()).drop("_cx", "_cy", "_a_cx", "_a_cy", "_b_cx", "_b_cy")
     if how == "inner":
@@ -48,8 +48,9 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], radius: floa
     dx, dy = F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")
     d2 = dx * dx + dy * dy
     limit = F.lit(radius * radius)
+    # a point stands in one cell, and targets, of which there are fewer as a rule, in all from which they are reached
     pairs = spatial_join(
-        as_box(points, "a_"), as_box(targets, "b_"), keys, lambda: (d2 < limit) if strict else (d2 <= limit), max(1, int(radius)), radius
+        as_box(points, "a_"), as_box(targets, "b_"), keys, lambda: (d2 < limit) if strict else (d2 <= limit), max(1, int(2 * radius)), b_pad=radius
     ).withColumn("d2", d2)
     order = Window.partitionBy(*keys, "a_id").orderBy("d2", "b_id")
     return (
