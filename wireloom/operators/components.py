@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.tables import forgotten, written
+from wireloom.tables import forgotten, shuffled, written
 
 
 #: Nodes that a task of :func:`_contracted` holds at most before it hands on what it has.
@@ -23,6 +23,18 @@ def _find(root: dict, x):
     return top
 
 
+def _once(batch: pa.RecordBatch):
+    """The different edges of a batch."""
+    pairs = pa.Table.from_batches([batch]).group_by(["u", "v"]).aggregate([])
+    return zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True)
+
+
+def _is_done(now: DataFrame) -> bool:
+    """Whether different edges (u > v) are stars already: no node points at two, none that points is pointed at."""
+    roles = now.select("u", F.lit(1).alias("n")).unionByName(now.groupBy("v").agg(F.lit(1).alias("n")).withColumnRenamed("v", "u"))
+    return not roles.groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count()
+
+
 def _contracted(arcs: DataFrame) -> DataFrame:
     """Fewer edges (u, v) of the same components: each task joins what its own rows join, and points nodes at the least."""
 
@@ -37,7 +49,7 @@ def _contracted(arcs: DataFrame) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.column("u").type
-            for x, y in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            for x, y in _once(batch):
                 x, y = _find(root, x), _find(root, y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -56,27 +68,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Tasks first contract what their own rows join.  Then large and small stars in
     turn (Kiveris and others, 2014): minima by node, which combine before the
     shuffle, and joins with these minima.  Each round is written, so that no plan
-    grows; the loop ends when a round changes nothing.
+    grows; the loop ends when all edges are stars.
+    What the tasks' own rows have settled costs no round.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     alone = ends.where("u = v").select("u", "v").distinct()
     now = written(_contracted(ends.where("u <> v")).distinct(), "edges")
-    mark = None
-    while True:
-        found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
-        if not found["n"] or tuple(found) == mark:
-            break
-        mark = tuple(found)
+    while not _is_done(now):
         arcs = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = arcs.groupBy("u").agg(F.min("v").alias("m"))
-        large = arcs.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = arcs.where("v > u").join(shuffled(low), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = large.join(shuffled(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         last, now = now, written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         forgotten(last)
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     known = now.unionByName(roots)
-    return known.unionByName(alone.join(known, "u", "left_anti")).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return known.unionByName(alone.join(shuffled(known), "u", "left_anti")).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def local_components(edges: DataFrame, key: str = "sheet_id", a: str = "a", b: str = "b") -> DataFrame:
